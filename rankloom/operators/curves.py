@@ -10,27 +10,24 @@ from rankloom.operators.ordering import running_totals
 from rankloom.session import materialize
 
 
-def running_counts(scored: DataFrame, by: tuple[str, ...] = (), score: str = "score",
-                   label: str = "true_label") -> DataFrame:
-    """One row per distinct score: its positives and negatives, and those at or above it.
+def score_ties(scored: DataFrame, by: tuple[str, ...] = (), score: str = "score",
+               label: str = "true_label") -> DataFrame:
+    """Stored table of distinct scores with their positives and negatives.
 
-    Equal scores fold together before anything is ordered, and the running sums
-    use score buckets, so neither a common score nor a whole model is one task.
+    Equal scores fold together per task, before anything is ordered.
     """
-    ties = scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    totals = running_totals(ties, "score", ["p", "n"], by)
-    return materialize(totals.withColumnsRenamed({"run_p": "tp", "run_n": "fp"}), "curve")
+    return materialize(scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")), "ties")
 
 
-def with_class_totals(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Attach the number of positives and negatives per ``by``: at most a row per model or split."""
-    sums = [F.sum("p").alias("positives"), F.sum("n").alias("negatives")]
-    if by:
-        return counts.join(materialize(counts.groupBy(*by).agg(*sums), "totals"), list(by))
-    row = counts.agg(*sums).first()
-    return (counts.withColumn("positives", F.lit(row["positives"]))
-            .withColumn("negatives", F.lit(row["negatives"])))
+def running_counts(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per distinct score: its positives and negatives, and those at or above it."""
+    return _running(score_ties(scored, by), by)
+
+
+def _running(ties: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    totals = running_totals(ties, "score", ["p", "n"], by)
+    return totals.withColumnsRenamed({"run_p": "tp", "run_n": "fp"})
 
 
 def curve_points(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,7 +35,16 @@ def curve_points(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Recall without positives is 1; the false positive rate without negatives is null.
     """
-    points = with_class_totals(running_counts(scored, by), by)
+    ties = score_ties(scored, by)
+    sums = [F.sum("p").alias("positives"), F.sum("n").alias("negatives")]
+    points = _running(ties, by)
+    if by:
+        # A row per model or split: stored, so the join knows how small it is.
+        points = points.join(materialize(ties.groupBy(*by).agg(*sums), "totals"), list(by))
+    else:
+        row = ties.agg(*sums).first()
+        points = points.withColumns({"positives": F.lit(row["positives"]).cast("long"),
+                                     "negatives": F.lit(row["negatives"]).cast("long")})
     return (points
             .withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
             .withColumn("recall", ratio(F.col("tp"), F.col("positives"), empty=1.0))

@@ -93,7 +93,7 @@ def distinct_texts(df: DataFrame, text: str, model: str) -> DataFrame:
     return (
         df.where(F.col(text).isNotNull())
         .select(content_key(model, F.col(text)).alias("text_key"), F.col(text).alias("text"))
-        .dropDuplicates(["text_key"])
+        .distinct()
     )
 
 

@@ -48,7 +48,7 @@ def token_statistics(corpus: DataFrame, vocabulary: DataFrame | None = None) ->
     is the corpus size. A vocabulary limits the frequencies kept, not the texts read.
     """
     rows = (
-        corpus.select(tokens(F.col("text")).alias("_tokens"))
+        spread_small(corpus.select("text")).select(tokens(F.col("text")).alias("_tokens"))
         .select(F.size("_tokens").alias("_length"),
                 F.explode(F.array_append(F.array_distinct("_tokens"), F.lit(""))).alias("token"))
     )

@@ -11,6 +11,7 @@ from rankloom.session import materialize
 
 CUTS: list[int | None] = [5, 10, 20, None]
 SEGMENT = 65_536
+FEW_ROWS = 1_000_000
 
 
 def cut_name(k: int | None) -> str:
@@ -19,24 +20,23 @@ def cut_name(k: int | None) -> str:
 
 def discount_sum(low: Column, high: Column) -> Column:
     """Sum of ``1 / log2(rank + 1)`` for ranks above ``low`` up to ``high``."""
-    ranks = F.sequence(low.cast("long") + 1, high.cast("long"))
+    first = low.cast("long") + 1
+    ranks = F.sequence(first, F.greatest(first, high.cast("long")))
     total = F.aggregate(ranks, F.lit(0.0), lambda acc, r: acc + F.lit(1.0) / F.log2(r + 1.0))
     return F.when(high > low, total).otherwise(F.lit(0.0))
 
 
 def tie_groups(scored: DataFrame, by: tuple[str, ...], score: str = "score",
                label: str = "true_label") -> DataFrame:
-    """One row per group and distinct score: size, positives, and the ranks it spans."""
-    ties = scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.count("*").alias("n"), F.sum(F.col(label)).cast("long").alias("gain"))
-    ranked = running_totals(ties, "score", ["n"], by)
-    return ranked.select(*by, "score", "n", "gain", (F.col("run_n") - F.col("n")).alias("low"),
-                         F.col("run_n").alias("high"))
+    """Stored table with one row per group and distinct score: size and positives."""
+    return materialize(scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+        F.count("*").alias("n"), F.sum(F.col(label)).cast("long").alias("gain")), "ties")
 
 
-def _segments(df: DataFrame, by: tuple[str, ...], longest: int) -> DataFrame:
-    """Cut rank spans that are long into pieces, spread over tasks."""
-    if longest <= SEGMENT:
+def _segments(df: DataFrame, by: tuple[str, ...], rows: int) -> DataFrame:
+    """Cut long rank spans into pieces, spread over tasks, unless the rows behind
+    them are few enough for no span to be long."""
+    if rows <= FEW_ROWS:
         return df
     last = F.floor((F.col("high") - F.col("low") - 1) / F.lit(SEGMENT)).cast("long")
     cut = (df.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))))
@@ -52,19 +52,21 @@ def query_ndcg(scored: DataFrame, by: tuple[str, ...] = ("query",),
     A tie group earns its mean gain times the discounts of the ranks it spans.
     Groups without a positive get zero.
     """
-    ties = materialize(tie_groups(scored, by), "ties")
-    longest = ties.agg(F.coalesce(F.max("high"), F.lit(0))).first()[0]
+    ties = tie_groups(scored, by)
+    rows = ties.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = ties.groupBy(*by).agg(F.sum("n").alias("items"), F.sum("gain").alias("positives"))
+    ranked = running_totals(ties, "score", ["n"], by).where("gain > 0")
 
     def upto(k: int | None) -> Column:
         return F.least(F.col("high"), F.lit(k).cast("long")) if k else F.col("high")
 
-    earned = ties.where("gain > 0").select(
-        *by, F.lit(0).alias("ideal"), "low", "high", (F.col("gain") / F.col("n")).alias("weight"))
+    earned = ranked.select(
+        *by, F.lit(0).alias("ideal"), (F.col("run_n") - F.col("n")).alias("low"),
+        F.col("run_n").alias("high"), (F.col("gain") / F.col("n")).alias("weight"))
     best = sizes.where("positives > 0").select(
         *by, F.lit(1).alias("ideal"), F.lit(0).cast("long").alias("low"),
         F.col("positives").alias("high"), F.lit(1.0).alias("weight"))
-    spans = _segments(earned.unionByName(best), by, longest)
+    spans = _segments(earned.unionByName(best), by, rows)
     sums = []
     for k in cuts:
         part = F.col("weight") * discount_sum(F.col("low"), upto(k))

@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import hash_of
-from rankloom.session import materialize, order_buckets
+from rankloom.session import order_buckets
+
+SMALL_ROWS = 200_000
 
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
@@ -53,26 +55,29 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int | str = 42) -> DataFrame:
 
 
 def running_totals(table: DataFrame, order: str, values: list[str], by: tuple[str, ...] = (),
-                   descending: bool = True, buckets: int | None = None) -> DataFrame:
+                   descending: bool = True, buckets: int | None = None,
+                   small: int = SMALL_ROWS) -> DataFrame:
     """Add ``run_<value>``: the inclusive running sum of each value within ``by``.
 
-    ``table`` holds one row per (``by``, ``order``): group equal scores first, so
-    that a tie group, however large, is one row. Bucket edges are quantiles of
-    ``order``, so skewed scores still give even buckets.
+    ``table`` is a stored table with one row per (``by``, ``order``): group equal
+    scores first, so that a tie group, however large, is one row. Bucket edges
+    are quantiles of ``order``, so skewed scores still give even buckets. A table
+    counted as small takes a plain window.
     """
-    spark = table.sparkSession
-    buckets = buckets or order_buckets(spark)
-    table = materialize(table, "running")
+    step = F.desc(order) if descending else F.asc(order)
+    if buckets is None and table.count() <= small:
+        within = W.partitionBy(*by).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
+        return table.withColumns({f"run_{v}": F.sum(v).over(within) for v in values})
+    buckets = buckets or order_buckets(table.sparkSession)
     steps = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(table.approxQuantile(order, steps, 1.0 / (4 * buckets))))
-    splits = [float("-inf"), *edges, float("inf")]
-    if len(splits) < 3:
-        table = table.withColumn("_bucket", F.lit(0.0))
-    else:
+    edges = sorted(set(table.approxQuantile(order, steps, 1.0 / (4 * buckets)))) if steps else []
+    if edges:
+        splits = [float("-inf"), *edges, float("inf")]
         table = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(table)
+    else:
+        table = table.withColumn("_bucket", F.lit(0.0))
     sign = -1 if descending else 1
     table = table.withColumn("_bucket", (F.col("_bucket") * sign).cast("int"))
-    step = F.desc(order) if descending else F.asc(order)
     return _run_sums(table, values, by, [step])
 
 

@@ -119,7 +119,11 @@ def generic_negatives(queries: DataFrame, pool: DataFrame, n: int = GENERIC_NEGA
 def balanced_pairs(catalogue: DataFrame, pool: DataFrame, n_paraphrases: int = PARAPHRASES,
                    n_hard: int = HARD_NEGATIVES, n_generic: int = GENERIC_NEGATIVES,
                    templates: list[str] = TEMPLATES, seed: int | str = 42) -> DataFrame:
-    """Positives, paraphrases, hard and generic negatives of every query, as one bag."""
+    """Positives, paraphrases, hard and generic negatives of every query, as one bag.
+
+    All branches read the catalogue, so it is written once.
+    """
+    catalogue = materialize(catalogue, "catalogue")
 
     def branch(df: DataFrame, name: str, number: str, label: int) -> DataFrame:
         return df.select(

@@ -265,10 +265,11 @@ def top_k(corpus: DataFrame, query_vector: list[float], k: int | None = None) ->
             .orderBy(F.desc("score"), F.asc("doc_id")).limit(depth(k)))
 
 
-def spread_small(df: DataFrame, rows: int) -> DataFrame:
-    """Spread a small counted table over all cores; a large one is already split
-    by its files and is left where it is."""
-    if rows > 1_000_000:
+def spread_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Spread a small table over all cores before work that is heavy per row; a
+    large one is already split by its files and is left where it is. Counting a
+    stored table reads file footers only."""
+    if (df.count() if rows is None else rows) > 1_000_000:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 

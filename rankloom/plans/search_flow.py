@@ -18,9 +18,8 @@ KEEP = 5
 def distinct_documents(corpus: DataFrame) -> DataFrame:
     """Each text once, under its smallest document id. Copies fold together per
     task before the shuffle, so a text that fills a third of the corpus is cheap."""
-    return (corpus.where("text is not null").groupBy(F.md5("text").alias("_key"))
-            .agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-            .select("doc_id", "text"))
+    return (corpus.where("text is not null").groupBy("text")
+            .agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text"))
 
 
 def rerank_hits(hits: DataFrame, queries: DataFrame, corpus: DataFrame, keep: int | None = KEEP,
