@@ -3,14 +3,16 @@ lineage through shared storage."""
 
 from __future__ import annotations
 
-import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app_name: str = "rankloom", cores: int | str = "*", partitions: int = 8,
@@ -34,6 +36,21 @@ def build_session(app_name: str = "rankloom", cores: int | str = "*", partitions
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needless where the package is installed on the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='rankloom-ship-')}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
@@ -81,7 +98,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 def order_buckets(spark: SparkSession) -> int:
     """How many slices a distributed ordering uses. Results do not depend on it."""
     return max(16, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def local_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))
