@@ -106,12 +106,16 @@ def cycled_template(i, templates: list[str]):
 
 def generic_negatives(queries: DataFrame, pool: DataFrame, n: int = GENERIC_NEGATIVES,
                       seed: int | str = 42) -> DataFrame:
-    """``n`` texts per query drawn with replacement from ``pool(pool_id, text)``."""
+    """``n`` texts per query drawn with replacement from ``pool(pool_id, text)``.
+
+    The numbered pool is written first: a short pool is then known to be short
+    and goes to the draws, instead of a few positions drawing all rows.
+    """
     size = pool.count()
     if size == 0:
         raise ValueError("the generic pool is empty")
     drawn = draw_with_replacement(queries, "query_id", n, F.lit(size), "generic", seed)
-    numbered = number_rows(pool.select("pool_id", "text"), "pool_id", (), seed)
+    numbered = materialize(number_rows(pool.select("pool_id", "text"), "pool_id", (), seed), "pool")
     return drawn.join(numbered, "position").select(
         "query_id", "query", "i", "pool_id", F.col("text").alias("comment"))
 

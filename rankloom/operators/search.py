@@ -93,6 +93,8 @@ class VectorScorer:
         n, k = len(ids), hits.k
         if n == 0 or len(self.ids) == 0:
             return
+        longest = np.sqrt((self.matrix ** 2).sum(axis=1).max() * (docs ** 2).sum(axis=1).max())
+        margin = 1e-9 * max(1.0, longest)
         step = max(1, CELLS // n)
         for start in range(0, len(self.ids), step):
             rough = self.matrix[start:start + step] @ docs.T
@@ -102,7 +104,7 @@ class VectorScorer:
             # rounding; the sums that decide the order run in index order.
             floor = np.full(len(rough), -np.inf)
             if n > k:
-                floor = np.partition(rough, n - k, axis=1)[:, n - k] - 1e-9
+                floor = np.partition(rough, n - k, axis=1)[:, n - k] - margin
             rows, cols = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
             rows = rows + start
             hits.add(rows, ids[cols], self._exact(docs, rows, cols))

@@ -148,7 +148,13 @@ def split_summary(df: DataFrame, label: str = "true_label") -> DataFrame:
 
 
 def leaked_pairs(df: DataFrame) -> DataFrame:
-    """(query, comment) pairs that occur in more than one split."""
+    """(query, comment) pairs that occur in more than one split.
+
+    The splits of a pair are gathered as bits, which fold per task and move the
+    texts once; counting distinct splits would move them twice.
+    """
+    bit = F.when(F.col("split") == "test", 1).when(F.col("split") == "val", 2).otherwise(4)
     per_text = df.groupBy("query", "comment").agg(
-        F.count("*").alias("copies"), F.count_distinct("split").alias("splits"))
+        F.count("*").alias("copies"),
+        F.bit_count(F.bit_or(bit)).cast("long").alias("splits"))
     return per_text.where("splits > 1")

@@ -496,6 +496,17 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.compare_models(b.scored_pairs(spark, sf_dir, (b.STRONG, b.WEAK)), {b.WEAK: 0.5})
 
 
+@registered
+def compare_models_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question with context, both taken from the benchmark, against all judged documents."""
+    asked = b.load(spark, sf_dir, "benchmark").agg(
+        F.min_by("text", "item_id").alias("question"), F.max_by("text", "item_id").alias("context")).first()
+    comments = b.judged_documents(spark, sf_dir).drop("score")
+    scored = compare.score_question(comments, asked["question"], asked["context"], b.ENCODERS)
+    scored = scored.withColumn("score", F.round("score", b.SCORE_DIGITS) + F.lit(0.0))
+    return compare.compare_models(materialize(scored, "question"))
+
+
 @registered
 def two_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = materialize(_split_scored(spark, sf_dir, (b.STRONG, b.WEAK)), "split")

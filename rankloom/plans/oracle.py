@@ -346,6 +346,22 @@ FIXED = f"fixed AS (SELECT * FROM (VALUES ('hash64', {PAIR_THRESHOLD}::DOUBLE),
 SPLIT_SCORED = PAIR_SPLIT + ", ss AS (SELECT s.*, split FROM scored s JOIN (SELECT pair_id, split FROM parts) USING (pair_id))"
 
 
+def _question(dim: int) -> str:
+    """CTE ``asked{dim}``: all judged documents scored against question and context."""
+    texts = "SELECT comment AS text FROM judged UNION ALL SELECT text FROM benchmark"
+    return vectors(f"qv{dim}", texts, dim) + f""",
+fm{dim} AS (SELECT list_transform(q.v, lambda x, i: (x + c.v[i]) / 2) AS m
+  FROM (SELECT arg_min(text, item_id) AS question, arg_max(text, item_id) AS context FROM benchmark)
+  JOIN qv{dim} q ON q.text = question JOIN qv{dim} c ON c.text = context),
+fq{dim} AS (SELECT list_transform(m, lambda x: coalesce(x / nullif(sqrt(list_inner_product(m, m)), 0), 0)) AS f FROM fm{dim}),
+asked{dim} AS (SELECT pair_id, true_label, 'hash{dim}' AS model,
+  round(list_inner_product((SELECT f FROM fq{dim}), v), 6) + 0.0 AS score FROM judged JOIN qv{dim} ON text = comment)"""
+
+
+QUESTION = _question(STRONG) + "," + _question(WEAK) + """,
+scored AS (SELECT * FROM asked64 UNION ALL SELECT * FROM asked16)"""
+
+
 def statements() -> dict[str, str]:
     retrieved = with_(TEXT_SEARCH, DOC_TOKENS, idf(BENCHMARK_QUERIES), coverage("found", "doc_id"), RERANKED, select=f"""
 SELECT query_id, doc_id, {r6('score')} AS retrieval_score, rank AS retrieval_rank, rerank_score, rerank_rank,
@@ -449,6 +465,10 @@ SELECT source, doc_id, pick FROM (SELECT source, doc_id, row_number() OVER (PART
             f"chosen AS (SELECT model, CASE WHEN model = 'hash16' THEN 0.5 ELSE {r3('threshold')} END AS threshold FROM best)",
             f"cm AS (SELECT model, threshold, {counts('threshold')} FROM (SELECT s.*, c.threshold FROM scored s JOIN chosen c USING (model)) GROUP BY ALL)",
             dcg("scored", "model"), select=f"SELECT model, threshold, {rates('3')}, round(ndcg_10, 3) AS ndcg_10 FROM cm JOIN rank_dcg USING (model)"),
+        "compare_models_question": with_(JUDGED, QUESTION, sweep("scored", SWEEP_VALUES, "model"),
+            f"chosen AS (SELECT model, {r3('threshold')} AS threshold FROM best)",
+            f"cm AS (SELECT model, threshold, {counts('threshold')} FROM (SELECT s.*, c.threshold FROM scored s JOIN chosen c USING (model)) GROUP BY ALL)",
+            dcg("scored", "model"), select=f"SELECT model, threshold, {rates('3')}, round(ndcg_10, 3) AS ndcg_10 FROM cm JOIN rank_dcg USING (model)"),
         "two_model_report": with_(BOTH, SPLIT_SCORED, "val AS (SELECT * FROM ss WHERE split = 'val')",
             "test AS (SELECT * FROM ss WHERE split = 'test')", sweep("val", SWEEP_VALUES, "model"),
             f"tuned AS (SELECT model, {r3('threshold')} AS threshold FROM best)", record("test", "tuned", "test"), select="SELECT * FROM record"),

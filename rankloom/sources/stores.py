@@ -6,7 +6,6 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rankloom.sources.guards import MissingInput, try_read
 
@@ -43,10 +42,9 @@ def save_index(index: Index | None, path: str) -> str:
         raise MissingInput("no index to save")
     spark = index.vectors.sparkSession
     version = uuid.uuid4().hex
-    # One shuffle by list and a slice of the ids: a list is few files, and a hot
-    # list is still written by many tasks.
-    slices = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    (index.vectors.repartition(F.col("list_id"), slices)
+    # One shuffle by list, so that a list is few files; Spark splits a list that is
+    # larger than a file should be and joins small ones.
+    (index.vectors.hint("rebalance", "list_id")
      .write.partitionBy("list_id").parquet(f"{path}/{version}/vectors"))
     if index.centroids is not None:
         index.centroids.write.parquet(f"{path}/{version}/centroids")
