@@ -1,11 +1,20 @@
-"""Text expressions, all evaluated inside the JVM."""
+"""Text expressions for the JVM, and the one rule Python tasks share with them."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+# Python's word characters without the underscore are the same letters and numbers.
+TOKEN = re.compile(r"[^\W_]+")
+
+
+def token_list(text: str) -> list[str]:
+    """``tokens`` for one text inside a Python task."""
+    return TOKEN.findall(text.lower())
 
 
 def tokens(text: Column) -> Column:

@@ -8,11 +8,10 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import content_key
+from rankloom.functions.text import content_key, token_list
 from rankloom.functions.vectors import dot
 
 
@@ -24,28 +23,33 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Buckets(dict):
+    """Bucket of a token, hashed on first sight; forgets all when it grows large."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        digest = hashlib.md5(token.encode("utf-8")).hexdigest()
+        bucket = self[token] = int(digest[:8], 16) % self.dim
+        return bucket
+
+
 class HashingEncoder:
     """Token counts hashed into ``dim`` buckets, scaled to unit length."""
 
     def __init__(self, dim: int = 64):
         self.name = f"hash{dim}"
         self.dim = dim
-        self._token = regex.compile(r"[\p{L}\p{N}]+")
-        self._bucket: dict[str, int] = {}
-
-    def _bucket_of(self, token: str) -> int:
-        bucket = self._bucket.get(token)
-        if bucket is None:
-            if len(self._bucket) > 500_000:
-                self._bucket.clear()
-            digest = hashlib.md5(token.encode("utf-8")).hexdigest()
-            bucket = self._bucket[token] = int(digest[:8], 16) % self.dim
-        return bucket
+        self._buckets = _Buckets(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         counts = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
-            hits = [self._bucket_of(t) for t in self._token.findall(text.lower())]
+            hits = list(map(self._buckets.__getitem__, token_list(text)))
             counts[row] = np.bincount(hits, minlength=self.dim) if hits else 0
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)

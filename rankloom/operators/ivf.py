@@ -93,7 +93,8 @@ def search_index(index: Index | None, queries: DataFrame, k: int | None = None,
         raise MissingInput("no index: build or load one first")
     if index.flat:
         return knn_join(queries, index.vectors, depth(k), exclude_self)
-    probed = probe_lists(queries.select("query_id", "embedding"), "query_id", index.centroids, probes)
+    probed = materialize(probe_lists(
+        queries.select("query_id", "embedding"), "query_id", index.centroids, probes), "probed")
     return knn_join_in_lists(probed, index.vectors, "list_id", depth(k), exclude_self)
 
 

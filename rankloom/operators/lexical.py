@@ -12,11 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import tokens
+from rankloom.functions.text import token_list, tokens
 from rankloom.operators.search import (
     DOC_BLOCK, Hits, _keyed_blocks, _scan_with_block, best_per_query, column_ids, depth,
     small_enough, spread_small)
@@ -83,7 +82,6 @@ class Bm25Scorer:
     def __init__(self, queries: pa.Table, mean_length: float):
         self.ids = column_ids(queries.column("query_id"))
         self.mean_length = mean_length
-        self._token = regex.compile(r"[\p{L}\p{N}]+")
         lists: dict[str, tuple[list[int], list[float]]] = {}
         for row, terms in enumerate(queries.column("terms").to_pylist()):
             for term in terms or []:
@@ -105,7 +103,7 @@ class Bm25Scorer:
     def _collect_some(self, ids: np.ndarray, texts: list[str], hits: Hits) -> None:
         rows, terms, parts = [], [], []
         for row, text in enumerate(texts):
-            found = self._token.findall((text or "").lower())
+            found = token_list(text or "")
             base = K1 * (1 - B + B * len(found) / self.mean_length) if found else 0.0
             for token, tf in Counter(found).items():
                 term = self.number.get(token)

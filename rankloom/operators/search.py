@@ -75,9 +75,8 @@ class Hits:
 class VectorScorer:
     """Inner products of a block of query vectors with batches of documents."""
 
-    fields = ("embedding",)
-
-    def __init__(self, queries: pa.Table, exclude_self: bool = False):
+    def __init__(self, queries: pa.Table, exclude_self: bool = False, first_row: int = 0):
+        self.first_row = first_row
         self.ids = column_ids(queries.column("query_id"))
         self.matrix = column_matrix(queries.column("embedding"))
         self.exclude_self = exclude_self
@@ -107,7 +106,28 @@ class VectorScorer:
                 floor = np.partition(rough, n - k, axis=1)[:, n - k] - margin
             rows, cols = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
             rows = rows + start
-            hits.add(rows, ids[cols], self._exact(docs, rows, cols))
+            hits.add(rows + self.first_row, ids[cols], self._exact(docs, rows, cols))
+
+
+class ListedScorer:
+    """A scorer per inverted list; documents meet the queries that probe their list."""
+
+    def __init__(self, queries: pa.Table, list_col: str, exclude_self: bool = False):
+        lists = column_ids(queries.column(list_col))
+        queries = queries.take(pa.array(np.argsort(lists, kind="stable")))
+        values, starts, sizes = np.unique(np.sort(lists), return_index=True, return_counts=True)
+        self.list_col = list_col
+        self.ids = column_ids(queries.column("query_id"))
+        self.scorers = {
+            value: VectorScorer(queries.slice(start, size).combine_chunks(), exclude_self, start)
+            for value, start, size in zip(values.tolist(), starts.tolist(), sizes.tolist())}
+
+    def collect(self, ids: np.ndarray, batch, hits: Hits) -> None:
+        lists = column_ids(batch.column(self.list_col))
+        for value in np.unique(lists).tolist():
+            if value in self.scorers:
+                at = np.flatnonzero(lists == value)
+                self.scorers[value].collect(ids[at], batch.take(pa.array(at)), hits)
 
 
 ScorerFactory = Callable[[pa.Table], object]
@@ -238,13 +258,23 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int | None = None,
 
 
 def knn_join_in_lists(queries: DataFrame, corpus: DataFrame, list_col: str, k: int | None = None,
-                      exclude_self: bool = False, query_block: int = QUERY_BLOCK,
-                      doc_block: int = DOC_BLOCK) -> DataFrame:
+                      exclude_self: bool = False, max_broadcast_rows: int = BROADCAST_ROWS,
+                      query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
     """Top-``k`` among documents of the lists each query probes.
 
-    Exact within those lists. A query appears once per list it probes.
+    Exact within those lists. A query appears once per list it probes. Few queries
+    read only the folders of their lists and shuffle no vector; many meet the
+    lists in blocks.
     """
     k = depth(k)
+    if small_enough(queries, "embedding", max_broadcast_rows):
+        # No more lists than queries, and no more than there are centroids.
+        probed = [r[0] for r in queries.select(list_col).distinct().collect()]
+        documents = corpus.select("doc_id", list_col, "embedding").where(F.col(list_col).isin(probed))
+        listed = queries.select("query_id", list_col, "embedding")
+        hits = _scan_with_block(
+            listed, documents, lambda block: ListedScorer(block, list_col, exclude_self), k)
+        return best_per_query(hits, k)
 
     def make(block: pa.Table) -> VectorScorer:
         return VectorScorer(block, exclude_self)

@@ -90,10 +90,28 @@ def test_hot_list_is_cut_into_blocks(spark, frames, vectors):
     queries, corpus = frames
     hot_q = queries.selectExpr("query_id", "embedding", "0L AS list_id")
     hot_d = corpus.selectExpr("doc_id", "embedding", "0L AS list_id")
-    got = knn_join_in_lists(hot_q, hot_d, "list_id", 5, query_block=11, doc_block=17)
+    got = knn_join_in_lists(hot_q, hot_d, "list_id", 5, max_broadcast_rows=0, query_block=11, doc_block=17)
     assert ranked(got) == brute(vectors, 5)
 
 
+def test_scan_and_block_paths_agree_on_probed_lists(frames):
+    queries, corpus = frames
+    index = ivf.build_index(corpus, flat_below=10, lists=6)
+    probed = ivf.probe_lists(queries, "query_id", index.centroids, 2)
+    scan = knn_join_in_lists(probed, index.vectors, "list_id", 5, True)
+    blocks = knn_join_in_lists(probed, index.vectors, "list_id", 5, True, 0, 9, 10)
+    assert ranked(scan) == ranked(blocks)
+
+
+def test_only_probed_folders_are_read(spark, frames, tmp_path):
+    _, corpus = frames
+    save_index(ivf.build_index(corpus, 10, 6), str(tmp_path / "index"))
+    index = load_index(spark, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, [1.0] + [0.0] * 7)], SCHEMAS[0])
+    plan = ivf.search_index(index, queries, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [(list_id" in plan
+
+
 def test_flat_below_cutoff(frames, vectors):
     queries, corpus = frames
     index = ivf.build_index(corpus)
