@@ -67,31 +67,43 @@ def _encoder_for(name: str, factory: EncoderFactory) -> Encoder:
     return _workers_encoders[name]
 
 
-def encode_column(df: DataFrame, text: str, name: str, factory: EncoderFactory,
-                  out: str = "embedding", batch_size: int = 64) -> DataFrame:
-    """Replace column ``text`` by its vector. A map over partitions: no shuffle."""
+def encode_columns(df: DataFrame, text: str, encoders: dict[str, tuple[str, EncoderFactory]],
+                   batch_size: int = 64) -> DataFrame:
+    """Replace column ``text`` by one vector column per entry ``{column: (name, factory)}``.
+
+    A map over partitions: no shuffle, and each text travels to Python once.
+    """
     kept = [f for f in df.schema.fields if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-                       + [f"`{out}` array<float>"])
+                       + [f"`{out}` array<float>" for out in encoders])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder_for(name, factory)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-            parts = [encoder.encode(texts[i:i + batch_size])
-                     for i in range(0, len(texts), batch_size)]
-            if not parts:
+            if not texts:
                 continue
-            matrix = np.ascontiguousarray(np.vstack(parts), dtype=np.float32)
-            sizes = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
-            vectors = pa.ListArray.from_arrays(pa.array(sizes), pa.array(matrix.ravel()))
+            vectors = [_encode_batch(_encoder_for(name, factory), texts, batch_size)
+                       for name, factory in encoders.values()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in kept] + [vectors],
-                names=[f.name for f in kept] + [out])
+                [batch.column(f.name) for f in kept] + vectors,
+                names=[f.name for f in kept] + list(encoders))
 
     return df.select(*[f.name for f in kept], text).mapInArrow(run, schema)
 
 
+def _encode_batch(encoder: Encoder, texts: list[str], batch_size: int) -> pa.ListArray:
+    parts = [encoder.encode(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
+    matrix = np.ascontiguousarray(np.vstack(parts), dtype=np.float32)
+    ends = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+
+
+def encode_column(df: DataFrame, text: str, name: str, factory: EncoderFactory,
+                  out: str = "embedding", batch_size: int = 64) -> DataFrame:
+    """Replace column ``text`` by its vector under one encoder."""
+    return encode_columns(df, text, {out: (name, factory)}, batch_size)
+
+
 def distinct_texts(df: DataFrame, text: str, model: str) -> DataFrame:
     """(text_key, text), each text once. Copies fold together before the shuffle."""
     return (
@@ -130,43 +142,52 @@ def encode_with_store(texts: DataFrame, stored: DataFrame, name: str, factory: E
 
 def align_pairs(pairs: DataFrame, vectors: DataFrame, model: str, left: str = "query",
                 right: str = "comment") -> DataFrame:
-    """Bring each pair together with the vectors of its two texts.
+    """Bring each pair together with the stored vectors of its two texts, as
+    ``left_embedding`` and ``right_embedding``."""
+    one = vectors.where(F.col("model") == model).select("text_key", "embedding")
+    keyed = pairs.withColumns({"_left": content_key(model, F.col(left)),
+                               "_right": content_key(model, F.col(right))})
+    return _join_both(keyed, one, ["embedding"])
 
-    Pairs carry keys, not vectors, through the first join, and each text was
-    encoded once however many pairs use it.
-    """
-    one = vectors.where(F.col("model") == model)
-    left_side = one.select(F.col("text_key").alias("_left_key"), F.col("embedding").alias("left_vec"))
-    right_side = one.select(F.col("text_key").alias("_right_key"), F.col("embedding").alias("right_vec"))
-    return (
-        pairs.withColumn("_left_key", content_key(model, F.col(left)))
-        .withColumn("_right_key", content_key(model, F.col(right)))
-        .join(right_side, "_right_key").join(left_side, "_left_key")
-        .drop("_left_key", "_right_key")
-    )
 
+def _join_both(keyed: DataFrame, vectors: DataFrame, columns: list[str]) -> DataFrame:
+    """Join ``text_key`` vectors to both sides. Pairs bring keys to the first join;
+    each text was encoded once however many pairs use it."""
+    for side in ("right", "left"):
+        named = vectors.select(F.col("text_key").alias(f"_{side}"),
+                               *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        keyed = keyed.join(named, f"_{side}")
+    return keyed.drop("_left", "_right")
 
-def score_pairs(pairs: DataFrame, model: str, factory: EncoderFactory, left: str = "query",
-                right: str = "comment", digits: int | None = None) -> DataFrame:
-    """Pairs with a cosine ``score`` under one model, in long form."""
+
+def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
+                          digits: int | None = None, left: str = "query", right: str = "comment",
+                          keep: list[str] | None = None) -> DataFrame:
+    """Long table (…, model, score) of cosine scores.
+
+    All encoders share one pass over the distinct texts and one pair of joins.
+    ``keep`` names the pair columns to carry; leaving the texts out spares the
+    joins most of their weight.
+    """
     both = pairs.select(F.col(left).alias("text")).unionByName(
         pairs.select(F.col(right).alias("text")))
-    vectors = encode_texts(both, model, factory)
-    score: Column = dot(F.col("left_vec"), F.col("right_vec"))
-    if digits is not None:
-        score = F.round(score, digits) + F.lit(0.0)
-    return (
-        align_pairs(pairs, vectors, model, left, right)
-        .withColumn("model", F.lit(model)).withColumn("score", score)
-        .drop("left_vec", "right_vec")
-    )
+    once = both.where("text is not null").select(F.md5("text").alias("text_key"), "text").distinct()
+    columns = {f"v{i}": (name, make) for i, (name, make) in enumerate(encoders.items())}
+    vectors = encode_columns(once, "text", columns)
+    keyed = pairs.withColumns({"_left": F.md5(left), "_right": F.md5(right)}).select(
+        *(keep or pairs.columns), "_left", "_right")
+    aligned = _join_both(keyed, vectors, list(columns))
 
+    def score(column: str) -> Column:
+        value = dot(F.col(f"left_{column}"), F.col(f"right_{column}"))
+        return value if digits is None else F.round(value, digits) + F.lit(0.0)
 
-def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
-                          digits: int | None = None) -> DataFrame:
-    """Long table (…, model, score): one pass per encoder over the same pairs."""
-    scored = [score_pairs(pairs, name, make, digits=digits) for name, make in encoders.items()]
-    result = scored[0]
-    for more in scored[1:]:
-        result = result.unionByName(more)
-    return result
+    scores = F.array(*[F.struct(F.lit(name).alias("model"), score(column).alias("score"))
+                       for column, (name, _) in columns.items()])
+    return aligned.select(*(keep or pairs.columns), F.inline(scores))
+
+
+def score_pairs(pairs: DataFrame, model: str, factory: EncoderFactory, left: str = "query",
+                right: str = "comment", digits: int | None = None) -> DataFrame:
+    """Pairs with their cosine ``score`` under one encoder."""
+    return score_pairs_by_models(pairs, {model: factory}, digits, left, right)

@@ -211,7 +211,7 @@ def align_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = pairs.select(F.col("query").alias("text")).unionByName(pairs.select(F.col("comment").alias("text")))
     vectors = encode_texts(both, b.STRONG, b.ENCODERS[b.STRONG])
     aligned = align_pairs(pairs, vectors, b.STRONG)
-    zipped = F.arrays_zip(rounded(F.col("left_vec")).alias("l"), rounded(F.col("right_vec")).alias("r"))
+    zipped = F.arrays_zip(rounded(F.col("left_embedding")).alias("l"), rounded(F.col("right_embedding")).alias("r"))
     return aligned.select("query_id", F.posexplode(zipped).alias("i", "z")).select(
         "query_id", F.col("i").cast("long").alias("i"), F.col("z.l").alias("left_x"), F.col("z.r").alias("right_x"))
 

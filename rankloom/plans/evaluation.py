@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rankloom.operators.compare import evaluation_record
 from rankloom.operators.encode import EncoderFactory, score_pairs_by_models
@@ -16,9 +17,13 @@ def evaluate_encoders(pairs: DataFrame, encoders: dict[str, EncoderFactory], key
                       seed: int | str = SEED) -> tuple[DataFrame, DataFrame]:
     """(scored and split pairs, one test record per encoder).
 
-    The split depends on the pair key alone, so all encoders share it.
+    The split depends on the pair key alone, so all encoders share it. Scored rows
+    keep a hash of their query for grouping instead of the texts.
     """
     divided = materialize(create_splits(pairs, key, test, val, seed), "split")
-    scored = materialize(score_pairs_by_models(divided, encoders), "scored")
+    keyed = divided.withColumn("query_key", F.md5("query"))
+    scored = materialize(score_pairs_by_models(
+        keyed, encoders, keep=[key, "query_key", "true_label", "split"]), "scored")
+    scored = scored.withColumnRenamed("query_key", "query")
     tuned = tune(scored.where("split = 'val'"), ("model",))
     return scored, evaluation_record(scored.where("split = 'test'"), tuned, "test")
