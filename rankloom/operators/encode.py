@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import content_key, token_list
 from rankloom.functions.vectors import dot
+from rankloom.session import materialize
 
 
 class Encoder(Protocol):
@@ -165,7 +166,9 @@ def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
                           keep: list[str] | None = None) -> DataFrame:
     """Long table (…, model, score) of cosine scores.
 
-    All encoders share one pass over the distinct texts and one pair of joins.
+    All encoders share one pass over the distinct texts and one pair of joins. The
+    vectors are written before they are joined twice: each text is encoded once, and
+    the joins see the size of the vectors instead of a guess from the texts.
     ``keep`` names the pair columns to carry; leaving the texts out spares the
     joins most of their weight.
     """
@@ -173,7 +176,7 @@ def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
         pairs.select(F.col(right).alias("text")))
     once = both.where("text is not null").select(F.md5("text").alias("text_key"), "text").distinct()
     columns = {f"v{i}": (name, make) for i, (name, make) in enumerate(encoders.items())}
-    vectors = encode_columns(once, "text", columns)
+    vectors = materialize(encode_columns(once, "text", columns), "vectors")
     keyed = pairs.withColumns({"_left": F.md5(left), "_right": F.md5(right)}).select(
         *(keep or pairs.columns), "_left", "_right")
     aligned = _join_both(keyed, vectors, list(columns))

@@ -78,7 +78,10 @@ def probe_lists(vectors: DataFrame, key: str, centroids: DataFrame, probes: int
 
 def build_index(vectors: DataFrame, flat_below: int = FLAT_BELOW, lists: int | None = None,
                 seed: int = 42) -> Index:
-    """Flat below the cut-off, inverted lists from it on. ``vectors(doc_id, embedding)``."""
+    """Flat below the cut-off, inverted lists from it on. ``vectors(doc_id, embedding)``.
+
+    The index is a plan until it is saved; save one that is searched more than once.
+    """
     rows = vectors.count()
     if rows < flat_below:
         return Index(vectors.withColumn("list_id", F.lit(0).cast("bigint")), None)

@@ -85,8 +85,14 @@ def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_pairs(dialogue_catalogue(spark, sf_dir), generic_pool(spark, sf_dir))
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = (STRONG,)) -> DataFrame:
-    """The dialogue pair set scored by one or more encoders, written once and read back."""
+def scored_pairs(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = (STRONG,),
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """The dialogue pair set scored by one or more encoders, written once and read back.
+
+    Scored rows carry ids, not texts; the id of a query stands for it as ``query``.
+    """
     pairs = materialize(dialogue_pairs(spark, sf_dir), "pairs")
-    scored = score_pairs_by_models(pairs, {m: ENCODERS[m] for m in models}, SCORE_DIGITS)
-    return materialize(scored, "scored")
+    scored = score_pairs_by_models(
+        pairs, {m: ENCODERS[m] for m in models}, SCORE_DIGITS,
+        keep=["pair_id", "query_id", "true_label", *keep])
+    return materialize(scored, "scored").withColumn("query", F.col("query_id"))

@@ -209,7 +209,7 @@ def multi_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = b.dialogue_catalogue(spark, sf_dir).withColumnRenamed("answer", "comment")
     both = pairs.select(F.col("query").alias("text")).unionByName(pairs.select(F.col("comment").alias("text")))
-    vectors = encode_texts(both, b.STRONG, b.ENCODERS[b.STRONG])
+    vectors = materialize(encode_texts(both, b.STRONG, b.ENCODERS[b.STRONG]), "vectors")
     aligned = align_pairs(pairs, vectors, b.STRONG)
     zipped = F.arrays_zip(rounded(F.col("left_embedding")).alias("l"), rounded(F.col("right_embedding")).alias("r"))
     return aligned.select("query_id", F.posexplode(zipped).alias("i", "z")).select(
@@ -304,7 +304,7 @@ def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def pair_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = materialize(b.dialogue_pairs(spark, sf_dir), "pairs")
+    pairs = _pairs(spark, sf_dir, "pair_id", "query_id", "comment")
     queries = query_dimension(b.dialogue_catalogue(spark, sf_dir)).select(
         "query_id", F.col("query").alias("text"))
     stats = token_statistics(b.text_corpus(spark, sf_dir), query_terms(queries))
@@ -326,11 +326,12 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return create_splits(_pairs(spark, sf_dir), "pair_id").select("pair_id", "true_label", "split")
+    return create_splits(_pairs(spark, sf_dir, "pair_id", "true_label"), "pair_id")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(b.dialogue_pairs(spark, sf_dir), "pairs")
+def _pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The stored pair set; columns not asked for are never built."""
+    return materialize(b.dialogue_pairs(spark, sf_dir).select(*(columns or ["*"])), "pairs")
 
 
 @registered
@@ -482,7 +483,8 @@ def eval_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def split_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(split_summary(create_splits(_pairs(spark, sf_dir), "pair_id")), "positive_rate")
+    return _rounded(split_summary(create_splits(
+        _pairs(spark, sf_dir, "pair_id", "true_label"), "pair_id")), "positive_rate")
 
 
 @registered
@@ -527,7 +529,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def rerank_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = b.scored_pairs(spark, sf_dir)
+    scored = b.scored_pairs(spark, sf_dir, keep=("comment",))
     queries = query_dimension(b.dialogue_catalogue(spark, sf_dir)).select(
         "query_id", F.col("query").alias("text"))
     stats = token_statistics(b.text_corpus(spark, sf_dir), query_terms(queries))
@@ -609,7 +611,8 @@ def branch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def split_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_pairs(create_splits(_pairs(spark, sf_dir), "pair_id"))
+    return leaked_pairs(create_splits(
+        _pairs(spark, sf_dir, "pair_id", "query", "comment", "true_label"), "pair_id"))
 
 
 # Streams ------------------------------------------------------------------------------
