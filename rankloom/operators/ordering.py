@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import hash_of
-from rankloom.session import order_buckets
+from rankloom.session import hash_buckets, order_buckets
 
 SMALL_ROWS = 200_000
 
@@ -32,7 +32,7 @@ def number_rows(df: DataFrame, key: str, by: tuple[str, ...] = (), seed: int | s
     ``by`` columns must not be null. The order, and so the result, is the same
     for any bucket count.
     """
-    buckets = buckets or order_buckets(df.sparkSession)
+    buckets = buckets or hash_buckets(df.sparkSession)
     keyed = df.withColumn("_hash", hash_of(seed, F.col(key)))
     keyed = keyed.withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))
     slot = [*by, "_bucket"]
@@ -84,7 +84,7 @@ def running_totals(table: DataFrame, order: str, values: list[str], by: tuple[st
 def running_by_hash(table: DataFrame, key: str, values: list[str], seed: int | str = 42,
                     buckets: int | None = None) -> DataFrame:
     """``running_totals`` over the whole table in seeded hash order of a unique key."""
-    buckets = buckets or order_buckets(table.sparkSession)
+    buckets = buckets or hash_buckets(table.sparkSession)
     table = table.withColumn("_hash", hash_of(seed, F.col(key)))
     table = table.withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))
     return _run_sums(table, values, (), [F.asc("_hash"), F.asc(key)]).drop("_hash")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import hash_of
 from rankloom.operators.ordering import hash_bucket
-from rankloom.session import order_buckets
+from rankloom.session import hash_buckets
 from rankloom.sources.guards import require_columns
 
 TEST_SIZE = 250
@@ -84,7 +84,7 @@ def quota_rank(df: DataFrame, stratum: Column, key: str, marks: list[dict], seed
     the limit. The rows themselves are then compared with a constant: the table
     is not shuffled, whatever the size of a stratum.
     """
-    buckets = order_buckets(df.sparkSession)
+    buckets = hash_buckets(df.sparkSession)
     keyed = df.select(stratum.alias("_stratum"), hash_of(seed, F.col(key)).alias("_hash"),
                       F.col(key).cast("string").alias("_key"))
     keyed = keyed.withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))

@@ -95,6 +95,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return df
 
 
-def order_buckets(spark: SparkSession) -> int:
+def order_buckets(spark: SparkSession, most: int = 4_096) -> int:
     """How many slices a distributed ordering uses. Results do not depend on it."""
-    return max(16, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(16, min(most, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def hash_buckets(spark: SparkSession) -> int:
+    """Slices of a hash order: they need no quantiles, so there may be more of them."""
+    return order_buckets(spark, 65_536)
