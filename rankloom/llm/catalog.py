@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rankloom.llm.hyperminhash import near_duplicates
 from rankloom.llm.piece_counts import token_counts
 from rankloom.llm.quality_rules import rule_report
 from rankloom.llm.secret_ledger import secret_report
+from rankloom.llm.unit_dedup import dedup_report
 from rankloom.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(load(spark, sf_dir, "documents"))
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(load(spark, sf_dir, "documents"))
 
@@ -22,10 +28,14 @@ def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(load(spark, sf_dir, "documents"))
 
 
 def all_queries() -> dict[str, Query]:
-    found = [op3_secret_ledger, op5_piece_counts, op9_quality_rules]
+    found = [op2_unit_dedup, op3_secret_ledger, op5_piece_counts, op7_hyperminhash, op9_quality_rules]
     return {query.__name__: query for query in found}

@@ -37,6 +37,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BLOCK = 64
+
+
+def running_sums(lengths: Column) -> Column:
+    """Inclusive running sums of an int array, from block totals, so that a text
+    with very many parts does not cost their square."""
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
+                         lambda b: total(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
+    return let(totals, lambda t: F.transform(
+        lengths, lambda _, i: total(F.slice(t, 1, F.floor(i / _BLOCK).cast("int"))) + total(
+            F.slice(lengths, (i - i % _BLOCK) + 1, i % _BLOCK + 1))))
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a longer name that no column of ``df`` has in any case."""
     taken = {c.lower() for c in df.columns}

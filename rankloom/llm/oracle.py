@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rankloom.llm.quality_rules import RULES, STOP_WORDS
+from rankloom.llm.unit_dedup import UNIT
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -72,5 +73,53 @@ FROM docs LEFT JOIN told USING (rid)""".replace(
     r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
 
 
+_NEAR = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x != '') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) END) AS s
+    FROM worded),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+    SELECT p.doc_id AS a, q.doc_id AS b FROM shingles p JOIN shingles q ON p.x = q.x AND p.doc_id != q.doc_id
+    GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least USING (doc_id)"""
+
+
+_UNITS = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '__UNIT__') AS u FROM documents),
+units AS (
+    SELECT doc_id, i - 1 AS pos, trim(regexp_replace(lower(u[i]), '[\x20\x09-\x0D.!?]+', ' ', 'g')) AS x,
+        coalesce(list_sum(list_transform(u[1:i - 1], lambda y: length(y))), 0) AS s, s + length(u[i]) AS e
+    FROM cut, unnest(range(1, len(u) + 1)) AS t(i)),
+ranked AS (
+    SELECT *, len(string_split(x, ' ')) AS words, row_number() OVER (PARTITION BY x ORDER BY doc_id, pos) > 1 AS again
+    FROM units WHERE x != ''),
+runs AS (
+    SELECT doc_id, min(s) AS s, max(e) AS e FROM (
+        SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM ranked WHERE again)
+    GROUP BY doc_id, run HAVING sum(words) >= 15),
+told AS (
+    SELECT doc_id, sum(e - s) AS gone, list(CAST(s AS BIGINT) ORDER BY s) AS ss, list(CAST(e AS BIGINT) ORDER BY s) AS es,
+        string_agg(concat(CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s) AS spans
+    FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(length(body) AS BIGINT) AS n_chars, CAST(coalesce(gone, 0) AS BIGINT) AS removed_chars,
+    coalesce(spans, '') AS removed_spans,
+    sha256(CASE WHEN spans IS NULL THEN body ELSE array_to_string(list_transform(range(1, len(ss) + 2), lambda k:
+        substring(body, CASE WHEN k = 1 THEN 1 ELSE es[k - 1] + 1 END,
+            (CASE WHEN k > len(ss) THEN length(body) ELSE ss[k] END) - (CASE WHEN k = 1 THEN 0 ELSE es[k - 1] END))), '')
+        END) AS text_sha256
+FROM cut LEFT JOIN told USING (doc_id)""".replace("__UNIT__", UNIT)
+
+
 def statements() -> dict[str, str]:
-    return {"op3_secret_ledger": _SECRETS, "op9_quality_rules": _rule_sql()}
+    return {"op2_unit_dedup": _UNITS, "op3_secret_ledger": _SECRETS, "op7_hyperminhash": _NEAR,
+            "op9_quality_rules": _rule_sql()}

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.frames import fresh_name, id_text, let
+from rankloom.llm.frames import fresh_name, id_text, let, running_sums
 from rankloom.session import materialize, scratch_path
 
 
@@ -53,18 +53,6 @@ RULES = [
 SPANS = "array<struct<start:int,end:int>>"
 PAIRS = f"array<struct<kind:string,version:int,spans:{SPANS}>>"
 LEDGER = f"blob string, pairs {PAIRS}"
-_BLOCK = 64
-
-
-def _running_sums(lengths: Column) -> Column:
-    """Inclusive running sums of an int array, from block totals, so that a text
-    with very many matches does not cost their square."""
-    add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    totals = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
-                         lambda b: add(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
-    return let(totals, lambda t: F.transform(
-        lengths, lambda _, i: add(F.slice(t, 1, F.floor(i / _BLOCK).cast("int"))) + add(
-            F.slice(lengths, (i - i % _BLOCK) + 1, i % _BLOCK + 1))))
 
 
 def rule_spans(text: Column, rule: SecretRule) -> Column:
@@ -79,7 +67,7 @@ def rule_spans(text: Column, rule: SecretRule) -> Column:
         gaps = F.slice(F.split(text, rule.pattern), 1, F.size(found))
         lengths = F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.char_length(m))
         return F.zip_with(
-            let(lengths, _running_sums), F.arrays_zip(found.alias("m"), wanted.alias("w")), lambda end, x: F.when(
+            let(lengths, running_sums), F.arrays_zip(found.alias("m"), wanted.alias("w")), lambda end, x: F.when(
                 F.char_length(x["w"]) >= rule.least,
                 F.struct((end - F.char_length(x["m"])).alias("start"), end.alias("end"))))
 
