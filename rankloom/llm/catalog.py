@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm.hyperminhash import near_duplicates
+from rankloom.llm.int8_pairs import near_vectors
 from rankloom.llm.piece_counts import token_counts
 from rankloom.llm.quality_rules import rule_report
 from rankloom.llm.secret_ledger import secret_report
@@ -28,6 +29,10 @@ def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
 
+def op6_int8_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -37,5 +42,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    found = [op2_unit_dedup, op3_secret_ledger, op5_piece_counts, op7_hyperminhash, op9_quality_rules]
+    found = [op2_unit_dedup, op3_secret_ledger, op5_piece_counts, op6_int8_pairs, op7_hyperminhash, op9_quality_rules]
     return {query.__name__: query for query in found}

@@ -93,6 +93,23 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least USING (doc_id)"""
 
 
+_VECTORS = """
+WITH RECURSIVE vecs AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND list_count(embedding) = len(embedding)
+        AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+        AND list_bool_or(list_transform(embedding, lambda x: x != 0))),
+links AS (
+    SELECT p.vec_id AS a, q.vec_id AS b FROM vecs p JOIN vecs q
+    ON p.label = q.label AND p.vec_id != q.vec_id AND len(p.v) = len(q.v)
+    WHERE list_cosine_similarity(p.v, q.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
+
+
 _UNITS = r"""
 WITH cut AS (
     SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '__UNIT__') AS u FROM documents),
@@ -121,5 +138,6 @@ FROM cut LEFT JOIN told USING (doc_id)""".replace("__UNIT__", UNIT)
 
 
 def statements() -> dict[str, str]:
-    return {"op2_unit_dedup": _UNITS, "op3_secret_ledger": _SECRETS, "op7_hyperminhash": _NEAR,
+    return {"op2_unit_dedup": _UNITS, "op3_secret_ledger": _SECRETS, "op6_int8_pairs": _VECTORS,
+            "op7_hyperminhash": _NEAR,
             "op9_quality_rules": _rule_sql()}
