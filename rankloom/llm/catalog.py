@@ -12,6 +12,7 @@ from rankloom.llm.piece_counts import token_counts
 from rankloom.llm.quality_rules import rule_report
 from rankloom.llm.secret_ledger import secret_report
 from rankloom.llm.unit_dedup import dedup_report
+from rankloom.llm.word_lexicon import encoding_digests
 from rankloom.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(load(spark, sf_dir, "documents"))
 
 
+def op10_word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(load(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
-    found = [op2_unit_dedup, op3_secret_ledger, op5_piece_counts, op6_int8_pairs, op7_hyperminhash, op9_quality_rules]
+    found = [op2_unit_dedup, op3_secret_ledger, op5_piece_counts, op6_int8_pairs, op7_hyperminhash, op9_quality_rules,
+             op10_word_lexicon]
     return {query.__name__: query for query in found}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
 def by_bytes(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array that hold about ``limit`` bytes each."""
     start = held = 0
-    for row, size in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for row, size in enumerate(pc.binary_length(texts).to_pylist()):
         if held and held + size > limit:
             yield start, row
             start, held = row, 0

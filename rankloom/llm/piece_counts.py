@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +76,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
             for low, high in by_bytes(texts, CHUNK_BYTES):
                 counts += count_tokens(texts.slice(low, high - low).to_pylist(), path)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.compute.binary_length(texts).cast(pa.int64()),
+                [batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()),
                  pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = id_text(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
