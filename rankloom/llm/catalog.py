@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm.hyperminhash import near_duplicates
 from rankloom.llm.int8_pairs import near_vectors
+from rankloom.llm.packed_ids import matrix_digests, packed_matrix
 from rankloom.llm.piece_counts import token_counts
+from rankloom.llm.quality_fm import learn_and_score
 from rankloom.llm.quality_rules import rule_report
 from rankloom.llm.secret_ledger import secret_report
 from rankloom.llm.unit_dedup import dedup_report
+from rankloom.llm.variable_bins import pack_documents
 from rankloom.llm.word_lexicon import encoding_digests
 from rankloom.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn_and_score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(load(spark, sf_dir, "documents"))
 
@@ -26,6 +33,10 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(load(spark, sf_dir, "documents"))
 
 
+def op4_variable_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"))
+
+
 def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"))
 
@@ -38,6 +49,10 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix_digests(packed_matrix(load(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(load(spark, sf_dir, "documents"))
 
@@ -47,6 +62,6 @@ def op10_word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    found = [op2_unit_dedup, op3_secret_ledger, op5_piece_counts, op6_int8_pairs, op7_hyperminhash, op9_quality_rules,
-             op10_word_lexicon]
+    found = [op1_quality_fm, op2_unit_dedup, op3_secret_ledger, op4_variable_bins, op5_piece_counts, op6_int8_pairs,
+             op7_hyperminhash, op8_packed_ids, op9_quality_rules, op10_word_lexicon]
     return {query.__name__: query for query in found}
