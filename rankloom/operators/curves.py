@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import ratio
-from rankloom.operators.ordering import running_totals
+from rankloom.operators.metrics import judged_rows
+from rankloom.operators.ordering import join_null_safe, running_totals
 from rankloom.session import materialize
 
 
@@ -14,9 +15,10 @@ def score_ties(scored: DataFrame, by: tuple[str, ...] = (), score: str = "score"
                label: str = "true_label") -> DataFrame:
     """Stored table of distinct scores with their positives and negatives.
 
-    Equal scores fold together per task, before anything is ordered.
+    Equal scores fold together per task, before anything is ordered. Rows without
+    a score or a label take no part (``judged_rows``).
     """
-    return materialize(scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+    return materialize(judged_rows(scored, score, label).groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")), "ties")
 
 
@@ -40,7 +42,7 @@ def curve_points(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     points = _running(ties, by)
     if by:
         # A row per model or split: stored, so the join knows how small it is.
-        points = points.join(materialize(ties.groupBy(*by).agg(*sums), "totals"), list(by))
+        points = join_null_safe(points, materialize(ties.groupBy(*by).agg(*sums), "totals"), list(by))
     else:
         row = ties.agg(*sums).first()
         points = points.withColumns({"positives": F.lit(row["positives"]).cast("long"),

@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +62,16 @@ EncoderFactory = Callable[[], Encoder]
 _workers_encoders: dict[str, Encoder] = {}
 
 
-def _encoder_for(name: str, factory: EncoderFactory) -> Encoder:
+def worker_key(name: str, factory: Callable) -> str:
+    """Name of a worker's cached object: another factory of the same name is another object."""
+    return f"{name}/{hashlib.md5(cloudpickle.dumps(factory)).hexdigest()}"
+
+
+def _encoder_for(key: str, factory: EncoderFactory) -> Encoder:
     """One encoder per worker process, built on first use and kept for later tasks."""
-    if name not in _workers_encoders:
-        _workers_encoders[name] = factory()
-    return _workers_encoders[name]
+    if key not in _workers_encoders:
+        _workers_encoders[key] = factory()
+    return _workers_encoders[key]
 
 
 def encode_columns(df: DataFrame, text: str, encoders: dict[str, tuple[str, EncoderFactory]],
@@ -77,14 +83,14 @@ def encode_columns(df: DataFrame, text: str, encoders: dict[str, tuple[str, Enco
     kept = [f for f in df.schema.fields if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
                        + [f"`{out}` array<float>" for out in encoders])
+    keyed = [(worker_key(name, factory), factory) for name, factory in encoders.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             if not texts:
                 continue
-            vectors = [_encode_batch(_encoder_for(name, factory), texts, batch_size)
-                       for name, factory in encoders.values()]
+            vectors = [_encode_batch(_encoder_for(key, factory), texts, batch_size) for key, factory in keyed]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + vectors,
                 names=[f.name for f in kept] + list(encoders))

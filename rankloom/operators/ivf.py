@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,30 +14,30 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.search import (
-    Hits, VectorScorer, column_ids, depth, knn_join, knn_join_in_lists)
+    BROADCAST_BYTES, Hits, VectorScorer, column_ids, depth, knn_join, knn_join_in_lists, small_enough)
 from rankloom.session import materialize
 from rankloom.sources.guards import MissingInput
 from rankloom.sources.stores import Index
 
-FLAT_BELOW = 10_000
-MAX_LISTS = 100
-TRAINING_ROWS_PER_LIST = 256
-MAX_CENTROIDS = 4_096
+FLAT, LISTS = "flat", "lists"
+#: Rows are no measure of a broadcast; its bytes are.
+CENTROID_ROWS = 1 << 40
 
 
 def list_count(rows: int) -> int:
-    return max(1, min(MAX_LISTS, rows // 10))
+    """About the root of the rows: lists and their members then grow alike."""
+    return max(1, math.isqrt(max(rows, 1) - 1) + 1)
 
 
-def train_centroids(vectors: DataFrame, lists: int, rows: int, seed: int = 42) -> DataFrame:
-    """(list_id, embedding) from k-means over a sample; sampling is how the coarse
-    quantizer trains, every vector is still assigned."""
-    share = min(1.0, lists * TRAINING_ROWS_PER_LIST / rows)
-    sample = vectors if share == 1.0 else vectors.sample(fraction=share, seed=seed)
-    training = sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+def train_centroids(vectors: DataFrame, lists: int, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """(list_id, embedding): unit k-means centres of all vectors, or of the share
+    the caller asks for. Unit length keeps a tight cluster from winning vectors
+    by the mere size of its mean."""
+    fitted = vectors if share >= 1.0 else vectors.sample(fraction=share, seed=seed)
+    training = fitted.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(training)
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(centers, "list_id bigint, embedding array<double>")
+    return unit_centroids(vectors.sparkSession.createDataFrame(centers, "list_id bigint, embedding array<double>"))
 
 
 def mean_vectors(vectors: DataFrame, by: str) -> DataFrame:
@@ -46,14 +47,19 @@ def mean_vectors(vectors: DataFrame, by: str) -> DataFrame:
         vector_to_array(mean).alias("embedding"))
 
 
-def probe_lists(vectors: DataFrame, key: str, centroids: DataFrame, probes: int = 1) -> DataFrame:
+def probe_lists(vectors: DataFrame, key: str, centroids: DataFrame, probes: int = 1,
+                max_rows: int = CENTROID_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each vector once per list among its ``probes`` best by inner product.
 
-    A map over partitions: centroids are counted before they are sent out.
+    A map over partitions while the counted bytes of the centroids may be sent to
+    every worker; beyond that, vectors and centroids meet in blocks.
     """
     centroids = materialize(centroids, "centroids")
-    if centroids.count() > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    if not small_enough(centroids, "embedding", max_rows, max_bytes):
+        best = knn_join(vectors.select(F.col(key).alias("query_id"), "embedding"),
+                        centroids.select(F.col("list_id").alias("doc_id"), "embedding"), probes)
+        lists = best.select(F.col("query_id").alias(key), F.col("doc_id").cast("bigint").alias("list_id"))
+        return vectors.drop("list_id").join(lists, key)
     table = centroids.select(F.col("list_id").cast("bigint").alias("query_id"), "embedding")
     block = vectors.sparkSession.sparkContext.broadcast(table.toArrow())
     kept = [f for f in vectors.schema.fields if f.name != "list_id"]
@@ -76,16 +82,20 @@ def probe_lists(vectors: DataFrame, key: str, centroids: DataFrame, probes: int
     return vectors.select(*[f.name for f in kept]).mapInArrow(run, schema)
 
 
-def build_index(vectors: DataFrame, flat_below: int = FLAT_BELOW, lists: int | None = None,
+def build_index(vectors: DataFrame, kind: str = FLAT, lists: int | None = None, share: float = 1.0,
                 seed: int = 42) -> Index:
-    """Flat below the cut-off, inverted lists from it on. ``vectors(doc_id, embedding)``.
+    """An index of ``vectors(doc_id, embedding)``: ``"flat"`` searches exactly,
+    ``"lists"`` within inverted lists, ``lists`` of them or about the root of the rows.
 
-    The index is a plan until it is saved; save one that is searched more than once.
+    The caller names the kind, so an answer never changes with the size of a
+    table. The index is a plan until it is saved; save one that is searched more
+    than once.
     """
-    rows = vectors.count()
-    if rows < flat_below:
+    if kind == FLAT:
         return Index(vectors.withColumn("list_id", F.lit(0).cast("bigint")), None)
-    centroids = train_centroids(vectors, lists or list_count(rows), rows, seed)
+    if kind != LISTS:
+        raise ValueError(f"unknown kind of index: {kind}")
+    centroids = train_centroids(vectors, lists or list_count(vectors.count()), share, seed)
     return Index(probe_lists(vectors, "doc_id", centroids), centroids)
 
 

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from rankloom.functions.numbers import ratio
 
 
+def judged_rows(scored: DataFrame, score: str = "score", label: str = "true_label") -> DataFrame:
+    """The rows every metric counts: those with a score and a label. A NaN score
+    is an error of the scorer and is refused."""
+    value = F.col(score).cast("double")
+    checked = F.when(F.isnan(value), F.raise_error(F.lit(f"{score} is NaN")).cast("double")).otherwise(value)
+    return scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn(score, checked)
+
+
 def confusion_counts(predicted: Column, label: Column) -> list[Column]:
     return [
         F.count_if((label == 1) & (predicted == 1)).alias("tp"),
@@ -21,11 +29,12 @@ def confusion(scored: DataFrame, threshold: Column | float, by: tuple[str, ...]
               compat: bool = False, score: str = "score", label: str = "true_label") -> DataFrame:
     """True and false positives and negatives at a threshold (inclusive).
 
+    Rows without a score or a label take no part (``judged_rows``).
     ``compat`` reports four zeros when labels and predictions hold one class only.
     """
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     predicted = (F.col(score) >= limit).cast("int")
-    counts = scored.groupBy(*by).agg(*confusion_counts(predicted, F.col(label)))
+    counts = judged_rows(scored, score, label).groupBy(*by).agg(*confusion_counts(predicted, F.col(label)))
     if not compat:
         return counts
     alone = ((F.col("tp") + F.col("fp") + F.col("fn") == 0)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import ratio
-from rankloom.operators.ordering import running_totals
+from rankloom.operators.metrics import judged_rows
+from rankloom.operators.ordering import join_null_safe, running_totals
 from rankloom.session import materialize
 
 CUTS: list[int | None] = [5, 10, 20, None]
@@ -28,8 +29,9 @@ def discount_sum(low: Column, high: Column) -> Column:
 
 def tie_groups(scored: DataFrame, by: tuple[str, ...], score: str = "score",
                label: str = "true_label") -> DataFrame:
-    """Stored table with one row per group and distinct score: size and positives."""
-    return materialize(scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
+    """Stored table with one row per group and distinct score: size and positives.
+    Rows without a score or a label take no part (``judged_rows``)."""
+    return materialize(judged_rows(scored, score, label).groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count("*").alias("n"), F.sum(F.col(label)).cast("long").alias("gain")), "ties")
 
 
@@ -73,7 +75,7 @@ def query_ndcg(scored: DataFrame, by: tuple[str, ...] = ("query",),
         sums += [F.sum(F.when(F.col("ideal") == 0, part)).alias(f"_dcg_{k}"),
                  F.sum(F.when(F.col("ideal") == 1, part)).alias(f"_ideal_{k}")]
     dcg = spans.groupBy(*by).agg(*sums)
-    joined = sizes.join(dcg, list(by), "left")
+    joined = join_null_safe(sizes, dcg, list(by), "left")
     return joined.select(
         *by, "items", "positives",
         *[ratio(F.col(f"_dcg_{k}"), F.col(f"_ideal_{k}")).alias(cut_name(k)) for k in cuts])

@@ -29,8 +29,8 @@ def number_rows(df: DataFrame, key: str, by: tuple[str, ...] = (), seed: int | s
                 out: str = "position", buckets: int | None = None) -> DataFrame:
     """0-based position of each row in seeded hash order, within ``by``.
 
-    ``by`` columns must not be null. The order, and so the result, is the same
-    for any bucket count.
+    Null is a group of its own. The order, and so the result, is the same for any
+    bucket count.
     """
     buckets = buckets or hash_buckets(df.sparkSession)
     keyed = df.withColumn("_hash", hash_of(seed, F.col(key)))
@@ -43,12 +43,19 @@ def number_rows(df: DataFrame, key: str, by: tuple[str, ...] = (), seed: int | s
     )
     inside = W.partitionBy(*slot).orderBy("_hash", key)
     return (
-        keyed.join(starts, slot)
+        join_null_safe(keyed, starts, slot)
         .withColumn(out, (F.row_number().over(inside) - 1 + F.col("_start")).cast("long"))
         .drop("_hash", "_bucket", "_start")
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[f"`{k}`"].eqNullSafe(renamed[f"`_right_{k}`"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def seeded_shuffle(df: DataFrame, key: str, seed: int | str = 42) -> DataFrame:
     """Rows in seeded random order, by a range-partitioned sort."""
     return df.orderBy(hash_of(seed, F.col(key)), key)
@@ -61,24 +68,35 @@ def running_totals(table: DataFrame, order: str, values: list[str], by: tuple[st
 
     ``table`` is a stored table with one row per (``by``, ``order``): group equal
     scores first, so that a tie group, however large, is one row. Bucket edges
-    are quantiles of ``order``, so skewed scores still give even buckets. A table
-    counted as small takes a plain window.
+    are quantiles of ``order``, so skewed scores still give even buckets. When the
+    largest group is counted as small, a plain window takes its place; both give
+    the same rows. Null groups are groups. A null ``order`` comes last when
+    descending and first when ascending, NaN counts as larger than any number.
     """
     step = F.desc(order) if descending else F.asc(order)
-    if buckets is None and table.count() <= small:
+    if buckets is None and _largest_group(table, by) <= small:
         within = W.partitionBy(*by).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
         return table.withColumns({f"run_{v}": F.sum(v).over(within) for v in values})
     buckets = buckets or order_buckets(table.sparkSession)
     steps = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(table.approxQuantile(order, steps, 1.0 / (4 * buckets)))) if steps else []
     if edges:
+        # NaN goes to a bucket above all others.
         splits = [float("-inf"), *edges, float("inf")]
-        table = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(table)
+        table = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket", handleInvalid="keep").transform(
+            table.withColumn(order, F.col(order).cast("double")))
     else:
-        table = table.withColumn("_bucket", F.lit(0.0))
+        table = table.withColumn("_bucket", F.when(F.isnan(order), 1.0).otherwise(0.0))
     sign = -1 if descending else 1
-    table = table.withColumn("_bucket", (F.col("_bucket") * sign).cast("int"))
-    return _run_sums(table, values, by, [step])
+    bucket = F.when(F.col(order).isNull(), F.lit(-1)).otherwise(F.col("_bucket")) * sign
+    return _run_sums(table.withColumn("_bucket", bucket.cast("int")), values, by, [step])
+
+
+def _largest_group(table: DataFrame, by: tuple[str, ...]) -> int:
+    """Rows of the largest group: what one task of a plain window would hold."""
+    if not by:
+        return table.count()
+    return table.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
 
 
 def running_by_hash(table: DataFrame, key: str, values: list[str], seed: int | str = 42,
@@ -101,7 +119,7 @@ def _run_sums(table: DataFrame, values: list[str], by: tuple[str, ...],
                          for v in values])
     )
     inside = W.partitionBy(*slot).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    joined = table.join(starts, slot)
+    joined = join_null_safe(table, starts, slot)
     return joined.select(
         *[c for c in table.columns if c != "_bucket"],
         *[(F.sum(v).over(inside) + F.col(f"_start_{v}")).alias(f"run_{v}") for v in values])

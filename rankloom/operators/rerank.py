@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
+from rankloom.operators.encode import worker_key
 from rankloom.operators.lexical import TokenStatistics, query_weights
 from rankloom.operators.search import depth
 
@@ -37,11 +38,12 @@ def score_candidates(candidates: DataFrame, name: str, factory: Callable[[], Pai
     fields = candidates.schema.fields
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + ["rerank_score double"])
+    key = worker_key(name, factory)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _workers_scorers:
-            _workers_scorers[name] = factory()
-        scorer = _workers_scorers[name]
+        if key not in _workers_scorers:
+            _workers_scorers[key] = factory()
+        scorer = _workers_scorers[key]
         for batch in batches:
             questions = batch.column("query").to_pylist()
             texts = batch.column("text").to_pylist()

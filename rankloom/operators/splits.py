@@ -16,8 +16,6 @@ from rankloom.sources.guards import require_columns
 TEST_SIZE = 250
 VAL_SIZE = 250
 SEED = 42
-NULL_CLASS = "<null>"
-
 Size = int | float
 
 
@@ -124,7 +122,8 @@ def create_splits(df: DataFrame, key: str, test: Size = TEST_SIZE, val: Size = V
     ``key`` is unique. Whole numbers are row counts, fractions are shares.
     """
     require_columns(df, label, key)
-    stratum = F.coalesce(F.col(label).cast("string"), F.lit(NULL_CLASS))
+    # A mark before every value keeps null apart from any label's text.
+    stratum = F.when(F.col(label).isNull(), F.lit("w")).otherwise(F.concat(F.lit("v"), F.col(label).cast("string")))
     counts = {r["s"]: r["count"] for r in df.groupBy(stratum.alias("s")).count().collect()}
     rows = sum(counts.values())
     if stratifiable(counts):

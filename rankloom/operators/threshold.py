@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.metrics import with_rates
+from rankloom.operators.metrics import judged_rows, with_rates
 
+# The sweep's start, stop and step, and the thresholds of the report.
 SWEEP = (-0.15, 0.80, 0.01)
 REPORT_GRID = [0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60]
 
@@ -24,17 +24,28 @@ def predict(score: Column, threshold: Column | float) -> Column:
     return (score >= limit).cast("int")
 
 
+def values_reached(score: Column, values: list[float]) -> Column:
+    """How many of the rising ``values`` a score reaches: a binary search as one
+    compiled expression of nested comparisons."""
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(score >= values[middle], search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, len(values))
+
+
 def threshold_sweep(scored: DataFrame, by: tuple[str, ...] = (), values: list[float] | None = None,
                     score: str = "score", label: str = "true_label") -> DataFrame:
     """Counts and rates at every grid value, from one pass over the rows.
 
     Each row is reduced to how many grid values it reaches; after partial
-    aggregation at most ``len(values) + 1`` rows per ``by`` are left.
+    aggregation at most ``len(values) + 1`` rows per ``by`` are left. Rows without a
+    score or a label take no part (``judged_rows``), as in ``confusion``.
     """
-    values = grid(*SWEEP) if values is None else values
-    bins = Bucketizer(splits=[float("-inf"), *values, float("inf")], inputCol=score,
-                      outputCol="_reached")
-    reached = bins.transform(scored.withColumn(score, F.col(score).cast("double")))
+    values = sorted(grid(*SWEEP) if values is None else values)
+    reached = judged_rows(scored, score, label).withColumn("_reached", values_reached(F.col(score), values))
     histogram = reached.groupBy(*by, "_reached").agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
     per_value = histogram.select(

@@ -15,9 +15,9 @@ from rankloom.functions.vectors import fuse, l2_normalize, rounded
 from rankloom.operators import compare, curves, histogram, metrics, ndcg, reports, threshold
 from rankloom.operators.encode import (
     align_pairs, encode_column, encode_missing, encode_texts, encode_with_store)
-from rankloom.operators.ivf import build_index, mean_vectors, probe_lists, search_index
+from rankloom.operators.ivf import LISTS, build_index, mean_vectors, probe_lists, search_index
 from rankloom.operators.lexical import lexical_join, query_terms, token_statistics
-from rankloom.operators.ordering import number_rows
+from rankloom.operators.ordering import join_null_safe, number_rows
 from rankloom.operators.pairs import (
     TEMPLATES, cycled_template, foreign_candidates, generic_negatives, hard_negatives, paraphrases,
     query_dimension, with_group)
@@ -26,19 +26,19 @@ from rankloom.operators.sampling import sample_per_group
 from rankloom.operators.search import knn_join, lookup_hits, score_against, top_k
 from rankloom.operators.splits import create_splits, leaked_pairs, split_summary
 from rankloom.plans import bindings as b
-from rankloom.plans.search_flow import distinct_documents, search_texts
+from rankloom.plans.evaluation import evaluate_encoders
+from rankloom.plans.search_flow import Scorer, distinct_documents, search_texts
 from rankloom.session import materialize, scratch_path
 from rankloom.sources.stores import Index, append_vectors, load_index, read_vectors, save_index
 from rankloom.sources.tables import POPULARITY_SCHEMA, read_csv, read_pairs, write_table
 from rankloom.streaming.encode_stream import encode_stream
-from rankloom.streaming.search_stream import answer_stream
+from rankloom.streaming.search_stream import answer_stream, read_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 RETRIEVE, KEEP, NEIGHBOURS, PROBES = 10, 5, 10, 3
 JUDGED_THRESHOLD = 0.6
 PAIR_THRESHOLD = 0.45
-FLAT_BELOW = 100
 
 _registry: dict[str, Query] = {}
 
@@ -237,16 +237,30 @@ def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def ivf_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_index(b.vector_corpus(spark, sf_dir), FLAT_BELOW).vectors.select("doc_id", "list_id")
+    """Every vector once, and whether its list is the one an exact search for its best centre finds."""
+    index = build_index(b.vector_corpus(spark, sf_dir), LISTS)
+    centers = materialize(index.centroids, "centroids")
+    best = knn_join(b.vector_queries(spark, sf_dir), centers.withColumnRenamed("list_id", "doc_id"), 1).select(
+        F.col("query_id").alias("doc_id"), F.col("doc_id").alias("best"))
+    listed = probe_lists(b.vector_corpus(spark, sf_dir), "doc_id", centers)
+    return listed.join(best, "doc_id").select("doc_id", (F.col("list_id") == F.col("best")).alias("in_best_list"))
 
 
 @registered
 def ivf_search_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = build_index(b.vector_corpus(spark, sf_dir), FLAT_BELOW)
+    index = build_index(b.vector_corpus(spark, sf_dir), LISTS)
     every = index.centroids.count()
     return _hits(search_index(index, b.vector_queries(spark, sf_dir), NEIGHBOURS, every, True))
 
 
+@registered
+def ivf_search_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given lists, stored, loaded and searched by folder."""
+    path = scratch_path(spark, "index")
+    save_index(_given_index(spark, sf_dir), path)
+    return _hits(search_index(load_index(spark, path), b.vector_queries(spark, sf_dir), NEIGHBOURS, PROBES, True))
+
+
 def _given_index(spark: SparkSession, sf_dir: str) -> Index:
     centroids = mean_vectors(b.load(spark, sf_dir, "embeddings"), "label")
     return Index(probe_lists(b.vector_corpus(spark, sf_dir), "doc_id", centroids), centroids)
@@ -295,6 +309,43 @@ def retrieve_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, "retrieval_score")
 
 
+def _stored_text_index(spark: SparkSession, sf_dir: str) -> tuple[Index, int]:
+    """A saved and loaded inverted-list index of all texts, and its number of lists."""
+    vectors = materialize(encode_column(
+        distinct_documents(b.text_corpus(spark, sf_dir)), "text", b.STRONG, b.ENCODERS[b.STRONG]), "corpus")
+    path = scratch_path(spark, "index")
+    save_index(build_index(vectors, LISTS), path)
+    index = load_index(spark, path)
+    return index, index.centroids.count()
+
+
+@registered
+def retrieve_rerank_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship search over a saved index; with every list probed it is exact."""
+    index, lists = _stored_text_index(spark, sf_dir)
+    found = search_texts(b.text_queries(spark, sf_dir), b.text_corpus(spark, sf_dir), b.STRONG,
+                         b.ENCODERS[b.STRONG], RETRIEVE, KEEP, index=index, probes=lists)
+    return _rounded(found, "retrieval_score")
+
+
+class LengthScorer:
+    """How close the lengths of question and text are, less one half: a scorer SQL can state."""
+
+    name = "length"
+
+    def score(self, questions: list[str], texts: list[str]) -> list[float]:
+        return [round(min(len(q), len(t)) / max(len(q), len(t), 1) - 0.5, 6) for q, t in zip(questions, texts, strict=True)]
+
+
+@registered
+def retrieve_rerank_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship search with a plugged-in pair scorer, its vectors from an embedding store."""
+    found = search_texts(b.text_queries(spark, sf_dir), b.text_corpus(spark, sf_dir), b.STRONG,
+                         b.ENCODERS[b.STRONG], RETRIEVE, KEEP, store=scratch_path(spark, "store"),
+                         scorer=Scorer("length", LengthScorer))
+    return _rounded(found, "retrieval_score", "rerank_score")
+
+
 @registered
 def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_join(b.text_queries(spark, sf_dir), b.text_corpus(spark, sf_dir), RETRIEVE)
@@ -465,11 +516,10 @@ def ndcg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ndcg.global_ndcg(b.judged_documents(spark, sf_dir))
 
 
-def _split_scored(spark: SparkSession, sf_dir: str, models: tuple[str, ...]) -> DataFrame:
-    scored = b.scored_pairs(spark, sf_dir, models)
-    keys = scored.where(F.col("model") == models[0]).select("pair_id", "true_label")
-    splits = materialize(create_splits(keys, "pair_id").select("pair_id", "split"), "splits")
-    return scored.join(splits, "pair_id")
+def _evaluated(spark: SparkSession, sf_dir: str, models: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Split first, score once: the pair set through the evaluation flow."""
+    pairs = _pairs(spark, sf_dir, "pair_id", "query_id", "query", "comment", "true_label")
+    return evaluate_encoders(pairs, {m: b.ENCODERS[m] for m in models}, digits=b.SCORE_DIGITS, group="query_id")
 
 
 _RECORD = ("accuracy", "precision", "recall", "f1", "pr_auc")
@@ -477,7 +527,7 @@ _RECORD = ("accuracy", "precision", "recall", "f1", "pr_auc")
 
 @registered
 def eval_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = _split_scored(spark, sf_dir, (b.STRONG,)).where("split = 'test'")
+    test = _evaluated(spark, sf_dir, (b.STRONG,))[0].where("split = 'test'")
     return _rounded(compare.evaluation_record(test, {b.STRONG: PAIR_THRESHOLD}, "test"), *_RECORD)
 
 
@@ -511,8 +561,35 @@ def compare_models_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def two_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = materialize(_split_scored(spark, sf_dir, (b.STRONG, b.WEAK)), "split")
-    return _rounded(compare.two_model_report(scored), *_RECORD)
+    return _rounded(_evaluated(spark, sf_dir, (b.STRONG, b.WEAK))[1], *_RECORD)
+
+
+@registered
+def eval_record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each model on the validation rows its threshold was tuned on."""
+    return _rounded(_evaluated(spark, sf_dir, (b.STRONG, b.WEAK))[2], *_RECORD)
+
+
+def _with_missing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as judged rows: those without a label or a score are null in one
+    of them, and one source counts as no source."""
+    docs = b.load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pair_id"), "source")
+    judged = b.judged_documents(spark, sf_dir).drop("query")
+    score = F.when(F.substring("pair_id", -1, 1) != "7", F.col("score"))
+    return docs.join(judged, "pair_id", "left").select(
+        "pair_id", F.when(F.col("source") != "src0", F.col("source")).alias("query"), "true_label", score.alias("score"))
+
+
+@registered
+def metrics_missing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of metric over rows with null labels, scores and groups."""
+    rows = materialize(_with_missing_scores(spark, sf_dir), "judged")
+    cut = metrics.classification_metrics(rows, JUDGED_THRESHOLD, ("query",))
+    areas = curves.auc(rows, ("query",)).select("query", "pr_auc")
+    ranked = ndcg.query_ndcg(rows, ("query",)).select("query", "items", "ndcg_10")
+    both = join_null_safe(join_null_safe(cut, areas, ["query"]), ranked, ["query"])
+    return _rounded(both.select("query", "tp", "fp", "fn", "tn", "f1", "pr_auc", "items", "ndcg_10"),
+                    "f1", "pr_auc", "ndcg_10")
 
 
 @registered
@@ -632,7 +709,7 @@ def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = scratch_path(spark, "answers")
     answer_stream(questions, corpus, vectors, token_statistics(corpus), name, factory, sink,
                   scratch_path(spark, "progress"), RETRIEVE, KEEP).awaitTermination()
-    return _rounded(spark.read.parquet(sink).drop("batch_id"), "retrieval_score")
+    return _rounded(read_answers(spark, sink), "retrieval_score")
 
 
 @registered

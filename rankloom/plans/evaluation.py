@@ -14,16 +14,19 @@ from rankloom.session import materialize
 
 def evaluate_encoders(pairs: DataFrame, encoders: dict[str, EncoderFactory], key: str = "pair_id",
                       test: Size = TEST_SIZE, val: Size = VAL_SIZE,
-                      seed: int | str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(scored and split pairs, one test record per encoder).
+                      seed: int | str = SEED, digits: int | None = None, group: str | None = None,
+                      ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored and split pairs, one test record per encoder, one validation record each).
 
     The split depends on the pair key alone, so all encoders share it. Scored rows
-    keep a hash of their query for grouping instead of the texts.
+    keep the ``group`` column, or a hash of their query, for grouping instead of the texts.
     """
     divided = materialize(create_splits(pairs, key, test, val, seed), "split")
-    keyed = divided.withColumn("query_key", F.md5("query"))
+    keyed = divided.withColumn("query_key", F.col(group) if group else F.md5("query"))
     scored = materialize(score_pairs_by_models(
-        keyed, encoders, keep=[key, "query_key", "true_label", "split"]), "scored")
+        keyed, encoders, digits, keep=[key, "query_key", "true_label", "split"]), "scored")
     scored = scored.withColumnRenamed("query_key", "query")
-    tuned = tune(scored.where("split = 'val'"), ("model",))
-    return scored, evaluation_record(scored.where("split = 'test'"), tuned, "test")
+    held = scored.where("split = 'val'")
+    tuned = tune(held, ("model",))
+    return (scored, evaluation_record(scored.where("split = 'test'"), tuned, "test"),
+            evaluation_record(held, tuned, "val"))

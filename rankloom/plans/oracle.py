@@ -366,6 +366,9 @@ def statements() -> dict[str, str]:
     retrieved = with_(TEXT_SEARCH, DOC_TOKENS, idf(BENCHMARK_QUERIES), coverage("found", "doc_id"), RERANKED, select=f"""
 SELECT query_id, doc_id, {r6('score')} AS retrieval_score, rank AS retrieval_rank, rerank_score, rerank_rank,
   CASE WHEN rerank_score > 0 THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS verdict, text FROM ranked""")
+    listed = with_(EMBEDDED, CENTROIDS, f"""
+near AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.v, d.v) AS score FROM probed q
+  JOIN probed d ON d.list_id = q.list_id AND d.pos = 1 AND d.vec_id <> q.vec_id WHERE q.pos <= {PROBES})""", select=knn("near"))
     judged_counts = f"SELECT {counts(str(JUDGED_THRESHOLD))} FROM judged"
     return {
         "pair_scan": with_(CATALOGUE, select="SELECT query_id AS pair_id, query, answer AS comment, 1 AS true_label FROM catalogue"),
@@ -405,10 +408,10 @@ both_v AS (SELECT query_id, l.v AS lv, r.v AS rv FROM catalogue JOIN e l ON l.te
             select=f"SELECT query_id, i::BIGINT AS i, {r6('l')} AS left_x, {r6('r')} AS right_x FROM (SELECT query_id, unnest(lv) AS l, unnest(rv) AS r, generate_subscripts(lv, 1) - 1 AS i FROM both_v)"),
         "one_to_many_scores": with_(EMBEDDED, MEAN_QUERY, select=f"SELECT doc_id, {r6('score')} AS score FROM one"),
         "topk_exact": with_(EMBEDDED, MEAN_QUERY, select=f"SELECT doc_id, {r6('score')} AS score FROM (SELECT * FROM one ORDER BY score DESC, doc_id LIMIT 20)"),
+        "ivf_build": "SELECT vec_id AS doc_id, true AS in_best_list FROM embeddings",
         "ivf_search_full_probe": with_(EMBEDDED, ALL_PAIRS, select=knn("near")),
-        "ivf_search_given_centroids": with_(EMBEDDED, CENTROIDS, f"""
-near AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.v, d.v) AS score FROM probed q
-  JOIN probed d ON d.list_id = q.list_id AND d.pos = 1 AND d.vec_id <> q.vec_id WHERE q.pos <= {PROBES})""", select=knn("near")),
+        "ivf_search_given_centroids": listed,
+        "ivf_search_saved": listed,
         "knn_join": with_(EMBEDDED, ALL_PAIRS, select=knn("near")),
         "hit_lookup": with_(TEXT_SEARCH, select="SELECT query_id, doc_id, rank, text FROM found"),
         "cross_group_candidates": with_(CATALOGUE, select="""
@@ -416,6 +419,13 @@ SELECT d.query_id, d.grp, (SELECT count(*) FROM catalogue c WHERE c.grp = d.grp)
   (SELECT count(*) FROM catalogue c WHERE c.grp <> d.grp) AS candidates FROM dimension d"""),
         "group_dimension": with_(PAIRS, select="SELECT pair_id, grp FROM pairs JOIN dimension USING (query_id)"),
         "retrieve_rerank": retrieved,
+        "retrieve_rerank_index": retrieved,
+        "retrieve_rerank_scorer": with_(TEXT_SEARCH, """
+asked AS (SELECT f.*, round(least(length(b.text), length(f.text))::DOUBLE / greatest(length(b.text), length(f.text), 1) - 0.5, 6) AS rerank_score
+  FROM found f JOIN benchmark b ON b.item_id = f.query_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank)::BIGINT AS rerank_rank FROM asked)""",
+            select=f"""SELECT query_id, doc_id, {r6('score')} AS retrieval_score, rank AS retrieval_rank, {r6('rerank_score')} AS rerank_score,
+  rerank_rank, CASE WHEN rerank_score > 0 THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS verdict, text FROM ranked WHERE rerank_rank <= {KEEP}"""),
         "lexical_candidates": with_(DOC_TOKENS, idf(BENCHMARK_QUERIES), BM25, select="SELECT query_id, doc_id, score, rank FROM lexical"),
         "pair_rescore": with_(PAIRS, DOC_TOKENS, idf(PAIR_QUERIES), "cand AS (SELECT pair_id, query_id, comment AS text FROM pairs)",
             coverage("cand", "pair_id"), select="SELECT pair_id, rerank_score FROM covered"),
@@ -472,6 +482,16 @@ SELECT source, doc_id, pick FROM (SELECT source, doc_id, row_number() OVER (PART
         "two_model_report": with_(BOTH, SPLIT_SCORED, "val AS (SELECT * FROM ss WHERE split = 'val')",
             "test AS (SELECT * FROM ss WHERE split = 'test')", sweep("val", SWEEP_VALUES, "model"),
             f"tuned AS (SELECT model, {r3('threshold')} AS threshold FROM best)", record("test", "tuned", "test"), select="SELECT * FROM record"),
+        "eval_record_validation": with_(BOTH, SPLIT_SCORED, "val AS (SELECT * FROM ss WHERE split = 'val')",
+            sweep("val", SWEEP_VALUES, "model"), f"tuned AS (SELECT model, {r3('threshold')} AS threshold FROM best)",
+            record("val", "tuned", "val"), select="SELECT * FROM record"),
+        "metrics_missing_scores": with_(JUDGED, """
+loose AS (SELECT coalesce(nullif(d.source, 'src0'), '') AS query, j.true_label, CASE WHEN right(d.doc_id::VARCHAR, 1) <> '7' THEN j.score END AS score
+  FROM documents d LEFT JOIN judged j ON j.pair_id = d.doc_id::VARCHAR),
+rated AS (SELECT * FROM loose WHERE score IS NOT NULL AND true_label IS NOT NULL)""",
+            f"cut AS (SELECT query, {counts(str(JUDGED_THRESHOLD))} FROM rated GROUP BY query)", curve("rated", "query", "pc"), dcg("rated", "query", "pd"),
+            select=f"""SELECT nullif(query, '') AS query, tp, fp, fn, tn, f1, {r6('pr_auc')} AS pr_auc, items, {r6('ndcg_10')} AS ndcg_10
+  FROM (SELECT query, tp, fp, fn, tn, {rates()} FROM cut) JOIN pc_areas ON g = query JOIN pd USING (query)"""),
         "metrics_long": with_(BOTH, FIXED, record("scored", "fixed", "all"), select=" UNION ALL ".join(
             f"SELECT model, '{m}' AS metric, {m} AS value FROM record" for m in ("accuracy", "precision", "recall", "f1", "pr_auc"))),
         "score_histogram": histogram(SCORED + ", hist AS (SELECT true_label, score FROM scored WHERE true_label IN (0, 1))", "true_label", 30),

@@ -79,7 +79,7 @@ def test_single_query(frames, vectors):
 
 def test_full_probe_is_exact_and_few_probes_are_a_subset(frames, vectors):
     queries, corpus = frames
-    index = ivf.build_index(corpus, flat_below=10, lists=6)
+    index = ivf.build_index(corpus, ivf.LISTS, 6)
     assert not index.flat and index.vectors.count() == len(vectors)
     assert ranked(ivf.search_index(index, queries, 5, probes=6)) == brute(vectors, 5)
     one = ivf.search_index(index, queries, 5, probes=1)
@@ -96,7 +96,7 @@ def test_hot_list_is_cut_into_blocks(spark, frames, vectors):
 
 def test_scan_and_block_paths_agree_on_probed_lists(frames):
     queries, corpus = frames
-    index = ivf.build_index(corpus, flat_below=10, lists=6)
+    index = ivf.build_index(corpus, ivf.LISTS, 6)
     probed = ivf.probe_lists(queries, "query_id", index.centroids, 2)
     scan = knn_join_in_lists(probed, index.vectors, "list_id", 5, True)
     blocks = knn_join_in_lists(probed, index.vectors, "list_id", 5, True, 0, 9, 10)
@@ -105,18 +105,34 @@ def test_scan_and_block_paths_agree_on_probed_lists(frames):
 
 def test_only_probed_folders_are_read(spark, frames, tmp_path):
     _, corpus = frames
-    save_index(ivf.build_index(corpus, 10, 6), str(tmp_path / "index"))
+    save_index(ivf.build_index(corpus, ivf.LISTS, 6), str(tmp_path / "index"))
     index = load_index(spark, str(tmp_path / "index"))
     queries = spark.createDataFrame([(1, [1.0] + [0.0] * 7)], SCHEMAS[0])
     plan = ivf.search_index(index, queries, 3)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [(list_id" in plan
 
 
-def test_flat_below_cutoff(frames, vectors):
+def test_kind_is_the_callers_choice(frames, vectors):
     queries, corpus = frames
     index = ivf.build_index(corpus)
     assert index.flat and ranked(ivf.search_index(index, queries, 4)) == brute(vectors, 4)
-    assert ivf.list_count(20_000) == 100 and ivf.list_count(500) == 50
+    assert ivf.list_count(20_000) == 142 and ivf.list_count(500) == 23 and ivf.list_count(0) == 1
+    lists = ivf.build_index(corpus, ivf.LISTS)
+    assert not lists.flat and lists.centroids.count() == ivf.list_count(corpus.count())
+    norms = [sum(x * x for x in r.embedding) for r in lists.centroids.collect()]
+    assert all(abs(n - 1) < 1e-9 for n in norms)
+    with pytest.raises(ValueError):
+        ivf.build_index(corpus, "tree")
+
+
+@pytest.mark.parametrize("probes", [1, 3])
+def test_blocked_assignment_equals_broadcast(frames, probes):
+    _, corpus = frames
+    centroids = ivf.build_index(corpus, ivf.LISTS, 7).centroids
+    sent = ivf.probe_lists(corpus, "doc_id", centroids, probes)
+    blocks = ivf.probe_lists(corpus, "doc_id", centroids, probes, max_bytes=0)
+    pairs = lambda df: sorted((r.doc_id, r.list_id) for r in df.collect())
+    assert pairs(sent) == pairs(blocks) and blocks.columns == sent.columns
 
 
 def test_list_with_fewer_than_k_vectors(spark):
@@ -136,7 +152,7 @@ def test_index_store(spark, frames, tmp_path):
         save_index(None, path)
     with pytest.raises(MissingInput):
         ivf.search_index(None, queries)
-    for index in (ivf.build_index(corpus, 10, 6), ivf.build_index(corpus)):
+    for index in (ivf.build_index(corpus, ivf.LISTS, 6), ivf.build_index(corpus)):
         want = ranked(ivf.search_index(index, queries, 4, probes=6))
         save_index(index, path)
         loaded = load_index(spark, path)

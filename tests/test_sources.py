@@ -78,7 +78,7 @@ def test_coverage(spark):
 
 def test_offline_evaluation(spark, sf_dir):
     pairs = b.dialogue_pairs(spark, sf_dir)
-    scored, records = evaluate_encoders(pairs, b.ENCODERS)
+    scored, records, _ = evaluate_encoders(pairs, b.ENCODERS)
     rows = {r.model: r for r in records.collect()}
     assert set(rows) == set(b.ENCODERS) and all(r.n_samples == 250 for r in rows.values())
     assert all(0 <= r[c] <= 1 for r in rows.values() for c in ("accuracy", "precision", "recall", "f1", "pr_auc", "ndcg_10"))
