@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import token_list, tokens
+from rankloom.functions.text import tokens
 from rankloom.operators.search import (
-    DOC_BLOCK, Hits, _keyed_blocks, _scan_with_block, best_per_query, column_ids, depth,
-    small_enough, spread_small)
+    BLOCK_BYTES, Hits, _keyed_blocks, _scan_with_block, best_per_query, column_ids, depth,
+    rows_per_block, small_enough, spread_small)
 from rankloom.session import broadcast_if_small, materialize
 
 K1 = 1.2
@@ -95,15 +95,14 @@ class Bm25Scorer:
         self.weights = np.array([w for _, ws in lists.values() for w in ws])
 
     def collect(self, ids: np.ndarray, batch, hits: Hits) -> None:
-        texts = batch.column("text").to_pylist()
+        lists = batch.column("tokens")
         step = max(1, min(256, 2_000_000 // max(1, len(self.ids))))
-        for start in range(0, len(texts), step):
-            self._collect_some(ids[start:start + step], texts[start:start + step], hits)
+        for start in range(0, len(lists), step):
+            self._collect_some(ids[start:start + step], lists.slice(start, step).to_pylist(), hits)
 
-    def _collect_some(self, ids: np.ndarray, texts: list[str], hits: Hits) -> None:
+    def _collect_some(self, ids: np.ndarray, lists: list[list[str]], hits: Hits) -> None:
         rows, terms, parts = [], [], []
-        for row, text in enumerate(texts):
-            found = token_list(text or "")
+        for row, found in enumerate(lists):
             base = K1 * (1 - B + B * len(found) / self.mean_length) if found else 0.0
             for token, tf in Counter(found).items():
                 term = self.number.get(token)
@@ -119,26 +118,29 @@ class Bm25Scorer:
         slot = np.arange(ends[-1]) - np.repeat(ends - fan, fan) + np.repeat(self.starts[terms], fan)
         cell = np.repeat(np.array(rows, np.int64), fan) * len(self.ids) + self.users[slot]
         value = np.repeat(np.array(parts), fan) * self.weights[slot]
-        scores = np.bincount(cell, weights=value, minlength=len(texts) * len(self.ids))
-        scores = np.round(scores.reshape(len(texts), len(self.ids)), 6)
-        n, k = len(texts), hits.k
+        scores = np.bincount(cell, weights=value, minlength=len(lists) * len(self.ids))
+        scores = np.round(scores.reshape(len(lists), len(self.ids)), 6)
+        n, k = len(lists), hits.k
         floor = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.zeros(len(self.ids))
         docs, queries = np.nonzero((scores >= floor[None, :]) & (scores > 0))
         hits.add(queries, ids[docs], scores[docs, queries])
 
 
 def lexical_join(queries: DataFrame, corpus: DataFrame, k: int | None = None,
-                 max_broadcast_rows: int = 20_000, query_block: int = 2_048,
-                 doc_block: int = DOC_BLOCK) -> DataFrame:
+                 max_broadcast_rows: int = 20_000, query_block: int | None = None,
+                 doc_block: int | None = None) -> DataFrame:
     """Top-``k`` documents of every query by BM25, scores to 6 places.
 
+    Frequencies, query terms and term counts share one tokenizer, the JVM's: texts
+    reach the scorer as token arrays.
+
     ``queries(query_id, text)``, ``corpus(doc_id, text)`` →
     ``(query_id, doc_id, score, rank)``.
     """
     k = depth(k)
     corpus = corpus.select("doc_id", "text").where("text is not null")
     stats = token_statistics(corpus, query_terms(queries))
-    corpus = spread_small(corpus, stats.documents)
+    corpus = spread_small(corpus, stats.documents).select("doc_id", tokens(F.col("text")).alias("tokens"))
     terms = query_weights(queries, stats)
     weighted = terms.groupBy("query_id").agg(
         F.collect_list(F.struct("token", "idf")).alias("terms"))
@@ -151,5 +153,9 @@ def lexical_join(queries: DataFrame, corpus: DataFrame, k: int | None = None,
     if small_enough(queries, None, max_broadcast_rows):
         hits = _scan_with_block(weighted, corpus, make, k)
     else:
-        hits = _keyed_blocks(weighted, corpus, make, k, [], query_block, doc_block)
+        # A token takes about 16 bytes on its way; the statistics know the mean length.
+        doc_block = doc_block or max(1, int(BLOCK_BYTES / (16 * (stats.mean_length + 1))))
+        weighted = materialize(weighted, "weighted")
+        hits = _keyed_blocks(weighted, corpus, make, k, [], query_block or rows_per_block(
+            weighted, F.size("terms") * 32), doc_block)
     return best_per_query(hits, k)

@@ -19,15 +19,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import dot
-from rankloom.session import broadcast_if_small
+from rankloom.session import broadcast_if_small, materialize
 
 DEFAULT_K = 20
 HIT_NAMES = ["query_id", "doc_id", "score"]
 CELLS = 2_000_000
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK = 4_096
-DOC_BLOCK = 32_768
+#: A block of either side holds about so many bytes, whatever its rows.
+BLOCK_BYTES = 32 << 20
 
 
 def depth(k: int | None) -> int:
@@ -47,9 +47,16 @@ def column_matrix(column) -> np.ndarray:
 
 
 def column_ids(column) -> np.ndarray:
+    """Ids as an array, numbers without a Python object each."""
+    if pa.types.is_integer(column.type) and column.null_count == 0:
+        return column.to_numpy()
     return np.asarray(column.to_pylist())
 
 
+def id_array(ids: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(ids if ids.dtype.kind in "iu" else ids.tolist(), kind)
+
+
 @dataclass
 class Hits:
     """Best ``k`` documents per query seen so far; queries are row numbers."""
@@ -135,8 +142,8 @@ ScorerFactory = Callable[[pa.Table], object]
 
 def _emit(scorer, hits: Hits, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     docs = hits.docs if hits.docs is not None else np.empty(0)
-    arrays = [pa.array(scorer.ids[hits.rows].tolist(), types[0]),
-              pa.array(docs.tolist(), types[1]), pa.array(hits.scores, pa.float64())]
+    arrays = [id_array(scorer.ids[hits.rows], types[0]), id_array(docs, types[1]),
+              pa.array(hits.scores, pa.float64())]
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
@@ -235,11 +242,25 @@ def small_enough(df: DataFrame, vector: str | None, max_rows: int = BROADCAST_RO
     return rows <= max_rows and total <= max_bytes
 
 
+def rows_per_block(df: DataFrame, size: Column, target: int = BLOCK_BYTES) -> int:
+    """Rows that hold about ``target`` bytes, from the counted rows and bytes."""
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return max(1, target * rows // max(total, 1))
+
+
+def vector_bytes() -> Column:
+    return F.size("embedding") * 8
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int | None = None,
              exclude_self: bool = False, max_broadcast_rows: int = BROADCAST_ROWS,
-             query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+             query_block: int | None = None, doc_block: int | None = None) -> DataFrame:
     """Exact top-``k`` documents of every query.
 
+    Few queries travel to the documents. Many meet them in blocks sized by bytes, so
+    the documents are copied once per ``BLOCK_BYTES`` of queries; both sides are
+    stored first, as they are counted and then read again.
+
     ``queries(query_id, embedding)``, ``corpus(doc_id, embedding)`` →
     ``(query_id, doc_id, score, rank)``.
     """
@@ -253,13 +274,15 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int | None = None,
     if small_enough(queries, "embedding", max_broadcast_rows):
         hits = _scan_with_block(queries, corpus, make, k)
     else:
-        hits = _keyed_blocks(queries, corpus, make, k, [], query_block, doc_block)
+        queries, corpus = materialize(queries, "queries"), materialize(corpus, "corpus")
+        hits = _keyed_blocks(queries, corpus, make, k, [], query_block or rows_per_block(queries, vector_bytes()),
+                             doc_block or rows_per_block(corpus, vector_bytes()))
     return best_per_query(hits, k)
 
 
 def knn_join_in_lists(queries: DataFrame, corpus: DataFrame, list_col: str, k: int | None = None,
                       exclude_self: bool = False, max_broadcast_rows: int = BROADCAST_ROWS,
-                      query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+                      query_block: int | None = None, doc_block: int | None = None) -> DataFrame:
     """Top-``k`` among documents of the lists each query probes.
 
     Exact within those lists. A query appears once per list it probes. Few queries
@@ -279,10 +302,10 @@ def knn_join_in_lists(queries: DataFrame, corpus: DataFrame, list_col: str, k: i
     def make(block: pa.Table) -> VectorScorer:
         return VectorScorer(block, exclude_self)
 
-    hits = _keyed_blocks(
-        queries.select("query_id", list_col, "embedding"),
-        corpus.select("doc_id", list_col, "embedding"), make, k, [list_col],
-        query_block, doc_block)
+    queries = materialize(queries.select("query_id", list_col, "embedding"), "queries")
+    corpus = materialize(corpus.select("doc_id", list_col, "embedding"), "corpus")
+    hits = _keyed_blocks(queries, corpus, make, k, [list_col], query_block or rows_per_block(queries, vector_bytes()),
+                         doc_block or rows_per_block(corpus, vector_bytes()))
     return best_per_query(hits, k)
 
 

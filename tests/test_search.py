@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 
 from rankloom.operators import ivf
 from rankloom.operators.lexical import lexical_join
-from rankloom.operators.search import depth, knn_join, knn_join_in_lists, top_k
+from rankloom.operators.search import rows_per_block, vector_bytes, depth, knn_join, knn_join_in_lists, top_k
 from rankloom.plans import bindings as b
 from rankloom.sources.guards import MissingInput
 from rankloom.sources.stores import Index, load_index, save_index
@@ -206,3 +206,20 @@ def test_vector_of_other_size_fails(spark, frames):
     odd = spark.createDataFrame([(1, [1.0, 0.0])], SCHEMAS[1])
     with pytest.raises(PySparkException):
         knn_join(queries, odd, 1).collect()
+
+
+def test_letters_that_python_splits_otherwise(spark):
+    # U+0870 is a letter to Python and none to the JVM, which counts the frequencies.
+    corpus = spark.createDataFrame([(1, "alpha\u0870beta common"), (2, "common words")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "beta")], "query_id long, text string")
+    assert [(h.query_id, h.doc_id) for h in lexical_join(queries, corpus, 2).collect()] == [(1, 1)]
+
+
+def test_blocks_follow_bytes(spark, frames):
+    queries, corpus = frames
+    rows = corpus.count()
+    per_row = 8 * len(corpus.first().embedding)
+    assert rows_per_block(corpus, vector_bytes(), 10 * per_row) == 10
+    assert rows_per_block(corpus.where("false"), vector_bytes()) == 1
+    plan = knn_join(queries, corpus, 3, max_broadcast_rows=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
