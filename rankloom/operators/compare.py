@@ -12,7 +12,6 @@ from rankloom.operators.metrics import classification_metrics
 from rankloom.operators.ndcg import CUTS, cut_name, global_ndcg, mean_ndcg
 from rankloom.operators.search import score_against
 from rankloom.operators.threshold import threshold_sweep, tune
-from rankloom.session import materialize
 
 RATES = ["accuracy", "precision", "recall", "f1"]
 CHART_METRICS = [*RATES, "pr_auc"]
@@ -39,15 +38,12 @@ def score_question(comments: DataFrame, question: str, context: str,
 
 
 def _per_model(thresholds: DataFrame | dict[str, float], scored: DataFrame) -> DataFrame:
-    """Rows with the threshold of their model.
-
-    The thresholds are written first: one row per model, of known size, so the
-    rows are not shuffled by model.
-    """
+    """Rows with the threshold of their model. There is one row per model, and
+    models are listed by the caller, so the thresholds are broadcast."""
     if isinstance(thresholds, dict):
         names = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair])
         return scored.withColumn("threshold", F.element_at(names, F.col("model")))
-    return scored.join(materialize(thresholds.select("model", "threshold"), "thresholds"), "model")
+    return scored.join(F.broadcast(thresholds.select("model", "threshold")), "model")
 
 
 def evaluation_record(scored: DataFrame, thresholds: DataFrame | dict[str, float], split: str,

@@ -91,8 +91,7 @@ def embedding_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "store")
     for name in (b.STRONG, b.WEAK):
         append_vectors(encode_texts(b.load(spark, sf_dir, "conversations"), name, b.ENCODERS[name]), path)
-    stored = read_vectors(spark, path).where(F.col("model") == b.WEAK)
-    return _exploded(stored, "text_key")
+    return _exploded(read_vectors(spark, path), "text_key")
 
 
 @registered
@@ -103,7 +102,10 @@ def index_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = load_index(spark, path)
     return loaded.vectors.select(
         "doc_id", F.col("list_id").cast("long").alias("list_id"),
-        F.size("embedding").cast("long").alias("dim"))
+        F.size("embedding").cast("long").alias("dim"), places(F.get("embedding", F.lit(0))).alias("first_x"),
+        places(F.element_at("embedding", -1)).alias("last_x")).join(
+        F.broadcast(loaded.centroids.select(F.col("list_id").cast("long").alias("list_id"), places(
+            F.get("embedding", F.lit(0))).alias("center_x"))), "list_id")
 
 
 # Projections, filters, scalar functions ------------------------------------

@@ -374,8 +374,10 @@ near AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.v
         "pair_scan": with_(CATALOGUE, select="SELECT query_id AS pair_id, query, answer AS comment, 1 AS true_label FROM catalogue"),
         "popularity_scan": "SELECT d.text AS comment, d.n_chars AS upvotes, l.quality AS true_label, d.source AS topic FROM documents d JOIN labels l USING (doc_id)",
         "embedding_store_roundtrip": with_(vectors("e", "SELECT text FROM conversations", WEAK),
-            f"k AS (SELECT {key_of(WEAK)} AS text_key, v FROM e)", select=exploded("k", "text_key")),
-        "index_store_roundtrip": with_(EMBEDDED, CENTROIDS, select="SELECT vec_id AS doc_id, list_id, len(v)::BIGINT AS dim FROM probed WHERE pos = 1"),
+            f"k AS (SELECT {key_of(WEAK)} AS text_key, v FROM e)", vectors("f", "SELECT text FROM conversations", STRONG),
+            f"h AS (SELECT {key_of(STRONG)} AS text_key, v FROM f)", select=exploded("k", "text_key") + " UNION ALL " + exploded("h", "text_key")),
+        "index_store_roundtrip": with_(EMBEDDED, CENTROIDS, select=f"""SELECT vec_id AS doc_id, p.list_id, len(v)::BIGINT AS dim,
+  {r6('v[1]')} AS first_x, {r6('v[-1]')} AS last_x, {r6('c[1]')} AS center_x FROM probed p JOIN centroids USING (list_id) WHERE pos = 1"""),
         "pair_projection": with_(PAIRS, select="SELECT query, comment, true_label FROM pairs"),
         "pair_score": with_(SCORED, select="SELECT pair_id, score FROM scored"),
         "l2_normalize": with_("""

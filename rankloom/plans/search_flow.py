@@ -64,7 +64,7 @@ def stored_vectors(corpus: DataFrame, store: str, name: str, factory: EncoderFac
     """(doc_id, embedding) of ``corpus(doc_id, text)``; texts that the embedding
     store lacks are encoded and added to it first, so no text is encoded twice."""
     spark = corpus.sparkSession
-    append_vectors(encode_missing(corpus, read_vectors(spark, store), name, factory), store)
+    append_vectors(encode_missing(corpus, read_vectors(spark, store), name, factory), store, compared=True)
     vectors = read_vectors(spark, store).where(F.col("model") == name).select("text_key", "embedding")
     keyed = corpus.where("text is not null").select("doc_id", content_key(name, F.col("text")).alias("text_key"))
     return keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).join(vectors, "text_key").select(

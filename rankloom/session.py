@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_scratch: dict[str, str] = {}
+_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -55,17 +55,25 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
     Only a local session may fall back on a temporary folder, because there the
-    driver and the executors are one process on one machine.
+    driver and the executors are one process on one machine. The folder belongs
+    to the application and goes when its JVM ends.
     """
     app = spark.sparkContext.applicationId
+    if app in _scratch:
+        return _scratch[app]
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{app}"
-    if not spark.sparkContext.master.startswith("local"):
+        root = f"{shared.rstrip('/')}/{app}"
+    elif spark.sparkContext.master.partition("[")[0] == "local":
+        root = tempfile.mkdtemp(prefix="rankloom-")
+    else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="rankloom-")
-    return _local_scratch[app]
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    _scratch[app] = root
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

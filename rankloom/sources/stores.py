@@ -18,8 +18,15 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], VECTOR_SCHEMA) if table is None else table
 
 
-def append_vectors(vectors: DataFrame, path: str) -> None:
-    """Add vectors, one folder per model."""
+def append_vectors(vectors: DataFrame, path: str, compared: bool = False) -> None:
+    """Add the vectors whose (model, key) the store lacks, one folder per model.
+
+    A repeated call adds nothing. ``compared`` says that the caller took the stored
+    keys off already. Writers of one store take turns.
+    """
+    if not compared:
+        stored = read_vectors(vectors.sparkSession, path).select("model", "text_key")
+        vectors = vectors.dropDuplicates(["model", "text_key"]).join(stored, ["model", "text_key"], "left_anti")
     vectors.select("text_key", "embedding", "model").write.mode("append").partitionBy("model").parquet(path)
 
 

@@ -18,7 +18,7 @@ def encode_stream(texts: DataFrame, name: str, factory: EncoderFactory, store: s
 
     def add(batch: DataFrame, batch_id: int) -> None:
         stored = read_vectors(batch.sparkSession, store)
-        append_vectors(encode_missing(batch, stored, name, factory, text), store)
+        append_vectors(encode_missing(batch, stored, name, factory, text), store, compared=True)
 
     return (texts.writeStream.foreachBatch(add)
             .option("checkpointLocation", checkpoint)
