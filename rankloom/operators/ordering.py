@@ -17,6 +17,8 @@ from rankloom.functions.text import hash_of
 from rankloom.session import hash_buckets, order_buckets
 
 SMALL_ROWS = 200_000
+#: Slices of an ordering grow with the rows of the largest group.
+ROWS_PER_BUCKET = 100_000
 
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
@@ -74,10 +76,11 @@ def running_totals(table: DataFrame, order: str, values: list[str], by: tuple[st
     descending and first when ascending, NaN counts as larger than any number.
     """
     step = F.desc(order) if descending else F.asc(order)
-    if buckets is None and _largest_group(table, by) <= small:
+    largest = _largest_group(table, by) if buckets is None else 0
+    if buckets is None and largest <= small:
         within = W.partitionBy(*by).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
         return table.withColumns({f"run_{v}": F.sum(v).over(within) for v in values})
-    buckets = buckets or order_buckets(table.sparkSession)
+    buckets = buckets or max(order_buckets(table.sparkSession), -(-largest // ROWS_PER_BUCKET))
     steps = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(table.approxQuantile(order, steps, 1.0 / (4 * buckets)))) if steps else []
     if edges:
