@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.frames import by_bytes, id_text
+from rankloom.session import materialize
 
 LEXICON_WORDS = 65_536
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 LONGEST = 48
 NONE = np.int64(1) << 40
 
@@ -333,12 +334,27 @@ def encode_texts(texts: list[str], lexicon: Lexicon, vocab: Vocabulary) -> Itera
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent letter runs of all texts, ties by word. The result is
-    bounded by ``words``; counts fold per task before they are shuffled."""
+    """The most frequent letter runs of all texts: at most ``words`` of them, all
+    that are more frequent than some limit.
+
+    Counts fold per task before they are shuffled. The limit is found from how many
+    words there are per level of frequency, a table of bounded size, so the driver
+    gets no more than the lexicon itself.
+    """
     runs = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counted = docs.select(runs.alias("word")).where("length(word) between 1 and 40").groupBy("word").count()
-    top = counted.orderBy(F.desc("count"), "word").limit(words)
-    return [r.word.encode() for r in top.collect()]
+    level = F.floor(F.log2("count") * 16).cast("int").alias("level")
+    counted = materialize(docs.select(runs.alias("word")).where("length(word) between 1 and 40").groupBy("word").count()
+                          .where("count > 1").select("word", level), "words")
+    per_level = {r["level"]: r["count"] for r in counted.groupBy("level").count().collect()}
+    limit, taken = None, 0
+    for number in sorted(per_level, reverse=True):
+        taken += per_level[number]
+        if taken > words:
+            break
+        limit = number
+    if limit is None:
+        return []
+    return [r.word.encode() for r in counted.where(F.col("level") >= limit).collect()]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:

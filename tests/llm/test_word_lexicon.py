@@ -60,3 +60,14 @@ def test_long_and_short_merges_agree(vocab):
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 45))).encode() for _ in range(300)]
     for word, ids in zip(words, wl.merge_words(words, vocab), strict=True):
         assert np.array_equal(ids, wl._merge_long(word, vocab))
+
+
+def test_frequent_words_are_bounded_and_the_most_frequent(spark):
+    rows = [(i, " ".join(f"w{chr(97 + k)}" for k in range(26) if i < 2 ** (k % 7))) for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    count = {f"w{chr(97 + k)}".encode(): 2 ** (k % 7) for k in range(26)}
+    for bound in (0, 2, 5, 9, 100):
+        got = wl.frequent_words(docs, bound)
+        assert len(got) == len(set(got)) <= bound
+        assert all(count[w] > max((count[v] for v in count if v not in got), default=0) for w in got)
+    assert wl.frequent_words(docs.where("false")) == []
