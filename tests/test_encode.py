@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import fuse, l2_normalize
 from rankloom.operators.encode import (
-    HashingEncoder, encode_column, encode_missing, encode_texts, encode_with_store, score_pairs)
+    HashingEncoder, align_pairs, encode_column, encode_missing, encode_texts, encode_with_store, score_pairs)
 from rankloom.plans.bindings import ENCODERS, STRONG
+from rankloom.session import materialize
 from rankloom.sources.stores import append_vectors, read_vectors
 
 FACTORY = ENCODERS[STRONG]
@@ -86,3 +87,30 @@ def test_normalize_and_fuse(spark):
     assert rows[0].f == pytest.approx([0.5 ** 0.5] * 2)
     assert rows[1].f == [3.0, 4.0]
     assert rows[2].n == rows[2].f == [0.0, 0.0]
+
+
+def test_a_hot_text_is_split_over_tasks(spark):
+    """One comment in most pairs: adaptive execution cuts its join partition."""
+    lowered = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+               "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+               "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+               "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in lowered}
+    for k, v in lowered.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = spark.range(4000).repartition(8).selectExpr(
+            "id pair_id", "concat('question ', id % 400) query",
+            "if(id % 10 < 8, 'the hot comment', concat('comment ', id)) comment")
+        texts = pairs.selectExpr("explode(array(query, comment)) text").distinct()
+        vectors = materialize(encode_texts(texts, "m", lambda: HashingEncoder(8)), "vectors")
+        joined = align_pairs(materialize(pairs, "pairs").repartition(8), vectors, "m")
+        assert joined.count() == 4000 and len(joined.select("pair_id").distinct().collect()) == 4000
+        joined.write.format("noop").mode("overwrite").save()
+        found = joined.select("pair_id", "left_embedding", "right_embedding")
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
