@@ -320,6 +320,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             "id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id", "n", "bands"]), "registers")
     keyed = signs.select("id", F.posexplode("bands")).select("id", F.xxhash64("pos", "col").alias("bucket"))
     buckets = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
+    # Stored, so that the join back is between two shuffles and a hot bucket can be split.
+    buckets = materialize(buckets, "sizes")
     shared = materialize(keyed.join(buckets, "bucket"), "buckets")
 
     # every document against the least one of its buckets: the best estimate first
@@ -333,7 +335,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = shared.join(early, "id", "left").select(
         "bucket", "id", "size", F.coalesce("component", "id").alias("comp"))
     split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    open_rows = materialize(placed.join(split.select("bucket"), "bucket"), "open_buckets")
+    split = materialize(split.select("bucket"), "split")
+    open_rows = materialize(placed.join(split, "bucket"), "open_buckets")
     small = open_rows.where(F.col("size") <= SMALL_BUCKET)
     mates = small.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     pairs = (small.withColumnRenamed("id", "a").join(mates, "bucket").where("a < b and comp != comp_b")
