@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.frames import SPACE_CHARS, fresh_name, let, running_sums
+from rankloom.session import materialize
 
 MIN_WORDS = 15
 _S = r"\x20\x09-\x0D"
@@ -47,12 +48,14 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """(row, mark, pos, words) of every occurrence but the first of its digest.
 
     Digests fold per task before they are shuffled, so a line that a third of
-    all documents hold is a few partial rows; the join back meets only digests
-    that occur twice.
+    all documents hold is a few partial rows. Those that occur twice are stored,
+    so the join back has nothing but shuffles on both sides and adaptive execution
+    can split a hot digest over many tasks.
     """
     found = occurrences(docs)
     first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1")
-    return found.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where("rank != first").select(
+    first = materialize(first.select("h1", "h2", "first"), "repeated")
+    return found.join(first, ["h1", "h2"]).where("rank != first").select(
         "row", "mark", "pos", "words")
 
 
