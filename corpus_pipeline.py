@@ -17,6 +17,9 @@ from rankloom.llm.unit_dedup import drop_repeats
 from rankloom.llm.variable_bins import pack_documents
 from rankloom.session import materialize
 
+#: Similarity, in percent, of five-word shingle sets at which the stage links; op7 has a contract of its own.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
@@ -25,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of the least id."""
-    return first_of_groups(docs)
+    return first_of_groups(docs, NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

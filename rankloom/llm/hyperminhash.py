@@ -1,6 +1,7 @@
 """Near-duplicate documents by HyperMinHash registers.
 
-A document's five-word shingles are dealt over ``REGISTERS`` buckets; a bucket
+A document's five-word shingles are dealt over ``REGISTERS`` buckets (more for a
+lower threshold, see ``bands_for``); a bucket
 keeps its smallest hash as one byte: four bits count leading zeros, four hold
 the mantissa after them. Eight registers make a band, and the band's bytes are
 its key. Documents that share a band are candidates; the register agreement,
@@ -17,6 +18,7 @@ and only joining links leave the task.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,11 @@ _TRIES = 24
 _U = np.uint64
 
 
+def bands_for(percent: int) -> int:
+    """Bands of ``ROWS`` registers that all miss a pair at the threshold with a chance of 2e-8 at most."""
+    return math.ceil(math.log(2e-8) / math.log(1 - (percent / 100) ** ROWS))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -67,24 +74,24 @@ def shingle_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
 
 
 @functools.cache
-def _detours() -> np.ndarray:
+def _detours(count: int) -> np.ndarray:
     """For each try and empty bucket, the bucket to borrow from."""
-    at = np.arange(_TRIES * REGISTERS, dtype=np.uint64).reshape(_TRIES, REGISTERS)
-    return (_mixed(at + _U(977)) % _U(REGISTERS)).astype(np.int64)
+    at = np.arange(_TRIES * count, dtype=np.uint64).reshape(_TRIES, count)
+    return (_mixed(at + _U(977)) % _U(count)).astype(np.int64)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
+def registers(hashes: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     """One byte per bucket: leading zeros (at most 15) and four mantissa bits of
     the bucket's least hash; empty buckets borrow from others in a fixed order."""
     spread = _mixed(hashes + _U(0x632BE59BD9B4E019))
-    bucket = (spread % _U(REGISTERS)).astype(np.int64)
+    bucket = (spread % _U(count)).astype(np.int64)
     value = _mixed(spread ^ _U(0xD6E8FEB86659FD93)) >> _U(32)
-    least = np.full(REGISTERS, _U(1) << _U(32))
+    least = np.full(count, _U(1) << _U(32))
     np.minimum.at(least, bucket, value)
     filled = least < (_U(1) << _U(32))
     empty = np.flatnonzero(~filled)
     source = least.copy()
-    for row in _detours():
+    for row in _detours(count):
         if not len(empty):
             break
         borrowed = row[empty]
@@ -113,36 +120,37 @@ def _cell_edges() -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def cell_chances(n: np.ndarray) -> np.ndarray:
+def cell_chances(n: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     """For documents of ``n`` shingles, the chance of every register byte. The
     product of two such rows is the chance that unrelated buckets agree."""
     low, high = _cell_edges()
-    load = np.maximum(n / REGISTERS, 1.0)[:, None]
+    load = np.maximum(n / count, 1.0)[:, None]
     return np.exp(-load * low) - np.exp(-load * high)
 
 
-def estimates(same: np.ndarray, chance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimates(same: np.ndarray, chance: np.ndarray, n_a: np.ndarray, n_b: np.ndarray,
+              percent: int = PERCENT, count: int = REGISTERS) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimate from the share of equal registers, corrected for chance
     collisions, and whether the threshold is within six standard errors of it."""
     jaccard = (same - chance) / (1 - chance)
-    need = PERCENT / 100
-    trials = np.clip(np.minimum(n_a, n_b) / 2, 1, REGISTERS)
+    need = percent / 100
+    trials = np.clip(np.minimum(n_a, n_b) / 2, 1, count)
     error = np.sqrt(need * (1 - need) / trials) / (1 - chance)
-    sizes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     return jaccard, sizes & (jaccard >= need - 6 * error)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Exact test on sorted distinct shingle hashes."""
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = np.concatenate((a, b))
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, count: int = REGISTERS) -> DataFrame:
     """(doc_id, n_shingles, digest, bands): size, digest of the full set, band keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -153,7 +161,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes.append(len(hashes))
                 if len(hashes):
                     digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                    bands.append(registers(hashes).view(np.int64))
+                    bands.append(registers(hashes, count).view(np.int64))
                 else:
                     digests.append(None)
                     bands.append(None)
@@ -178,9 +186,9 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "id bigint, shingles binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, count: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.view(np.uint8).reshape(len(column), REGISTERS)
+    return flat.view(np.uint8).reshape(len(column), count)
 
 
 def _with_signs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -190,16 +198,16 @@ def _with_signs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs
 
 
-def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, signs: DataFrame, percent: int = PERCENT, count: int = REGISTERS) -> DataFrame:
     """(a, b, estimate) of the pairs that may reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            same = (_matrix(batch.column("bands_a")) == _matrix(batch.column("bands_b"))).mean(axis=1)
-            chance = (cell_chances(n_a) * cell_chances(n_b)).sum(axis=1)
-            jaccard, good = estimates(same, chance, n_a, n_b)
+            same = (_matrix(batch.column("bands_a"), count) == _matrix(batch.column("bands_b"), count)).mean(axis=1)
+            chance = (cell_chances(n_a, count) * cell_chances(n_b, count)).sum(axis=1)
+            jaccard, good = estimates(same, chance, n_a, n_b, percent, count)
             keep = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").take(keep), batch.column("b").take(keep), pa.array(jaccard[good])],
@@ -208,13 +216,14 @@ def plausible(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return _with_signs(pairs, signs).mapInArrow(run, "a bigint, b bigint, estimate double")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left"), batch.column("right")
             keep = [i for i in range(batch.num_rows) if linked(
-                np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64))]
+                np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64),
+                percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     joined = (pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
@@ -242,43 +251,44 @@ class _Union:
 
 
 def tile_links(ids: np.ndarray, comps: list[int], sides: np.ndarray, regs: np.ndarray, sets: list[np.ndarray],
-               within: bool) -> list[tuple[int, int]]:
+               within: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Joining links of one tile: best estimates are confirmed first, and pairs
     that meanwhile belong together are passed over."""
     union, links = _Union(comps), []
     sizes = np.array([len(s) for s in sets])
     rows = np.arange(len(ids)) if within else np.flatnonzero(sides == 0)
     others = np.arange(len(ids)) if within else np.flatnonzero(sides == 1)
-    group, cells = np.array(comps), cell_chances(sizes)
+    count = regs.shape[1]
+    group, cells = np.array(comps), cell_chances(sizes, count)
     found = []
     for i in rows:
         mates = others[others > i] if within else others
         mates = mates[group[mates] != group[i]]
         if len(mates):
             same = (regs[mates] == regs[i]).mean(axis=1)
-            jaccard, good = estimates(same, cells[mates] @ cells[i], sizes[i], sizes[mates])
+            jaccard, good = estimates(same, cells[mates] @ cells[i], sizes[i], sizes[mates], percent, count)
             found += [(-e, i, j) for e, j in zip(jaccard[good], mates[good], strict=True)]
     for _, i, j in sorted(found):
-        if union.root(i) != union.root(j) and linked(sets[i], sets[j]):
+        if union.root(i) != union.root(j) and linked(sets[i], sets[j], percent):
             union.join(i, j)
             links.append((int(ids[i]), int(ids[j])))
     return links
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
+def _tiles(rows: DataFrame, percent: int = PERCENT, count: int = REGISTERS) -> DataFrame:
     """Links from ``rows(bucket, i, j, side, id, comp, bands, shingles)``; one tile
     after the other as they lie in a sorted partition."""
     def finish(tile: list) -> list[tuple[int, int]]:
         ids = np.array([r[4] for r in tile])
         regs = np.stack([np.frombuffer(r[6], np.uint8) for r in tile])
         return tile_links(ids, [r[5] for r in tile], np.array([r[3] for r in tile]), regs,
-                          [np.frombuffer(r[7], np.uint64) for r in tile], tile[0][1] == tile[0][2])
+                          [np.frombuffer(r[7], np.uint64) for r in tile], tile[0][1] == tile[0][2], percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: list = []
         for batch in batches:
             plain = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "comp")]
-            regs, sets = _matrix(batch.column("bands")), batch.column("shingles")
+            regs, sets = _matrix(batch.column("bands"), count), batch.column("shingles")
             links = []
             for k, row in enumerate(zip(*plain, strict=True)):
                 if tile and tile[0][:3] != row[:3]:
@@ -297,7 +307,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
     Words are runs of non-separators after lower-casing A-Z; a document's set is
@@ -308,11 +318,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cannot be named: its component is null and it is kept. An empty table gives
     an empty one. Other columns are not carried.
 
-    Sets are compared by 64-bit shingle hashes. A pair at the threshold is missed
-    by all bands with a chance of about 2e-8 (``BANDS`` x ``ROWS``), and by the
-    estimate at six standard errors.
+    Sets link at a Jaccard similarity of ``percent`` or more. They are compared by
+    64-bit shingle hashes. A pair at the threshold is missed by all bands with a
+    chance of about 2e-8 (``bands_for`` x ``ROWS``), and by the estimate at six
+    standard errors.
     """
-    signed = materialize(signatures(docs), "signatures")
+    count = bands_for(percent) * ROWS
+    signed = materialize(signatures(docs, count), "signatures")
     classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("id"))
     signs = materialize(
@@ -326,9 +338,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # every document against the least one of its buckets: the best estimate first
     led = shared.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    best = plausible(led, signs).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
+    best = plausible(led, signs, percent, count).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
     sets = materialize(full_sets(docs, shared.select("id").distinct()).dropDuplicates(["id", "shingles"]), "sets")
-    first = materialize(confirmed(best, sets), "first_links")
+    first = materialize(confirmed(best, sets, percent), "first_links")
     early = components(first)
 
     # buckets still split between components
@@ -341,19 +353,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mates = small.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     pairs = (small.withColumnRenamed("id", "a").join(mates, "bucket").where("a < b and comp != comp_b")
              .select("a", "b").distinct())
-    few = confirmed(plausible(pairs, signs), sets)
+    few = confirmed(plausible(pairs, signs, percent, count), sets, percent)
 
     large = open_rows.where(F.col("size") > SMALL_BUCKET)
     held = large.join(sets, "id").join(signs.select("id", "bands"), "id")
     counts = large.join(sets.select("id", F.length("shingles").alias("bytes")), "id").groupBy("bucket").agg(
-        F.ceil(F.sum(F.col("bytes") + REGISTERS) / F.lit(TILE_BYTES)).cast("int").alias("blocks"))
+        F.ceil(F.sum(F.col("bytes") + count) / F.lit(TILE_BYTES)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     held = held.join(counts, "bucket").withColumn("block", block)
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = held.select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "comp", "bands", "shingles")
-    many = _tiles(tiles)
+    many = _tiles(tiles, percent, count)
     last = materialize(few.unionByName(many), "last_links")
     found = components(first.unionByName(last))
 
@@ -366,13 +378,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def first_of_groups(docs: DataFrame) -> DataFrame:
+def first_of_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows of ``docs``, columns unchanged, whose document stands for its group.
 
     Repeated rows of one kept id stay once per distinct text. Rows with a null
     id all stay.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(
         F.col("doc_id").alias(_key(docs))).distinct()
     named = docs.where(F.col("doc_id").isNotNull()).withColumn(_key(docs), F.col("doc_id").cast("long"))
     stay = named.join(kept, _key(docs), "left_semi").dropDuplicates([_key(docs), "text"]).drop(_key(docs))
