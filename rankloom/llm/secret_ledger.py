@@ -9,7 +9,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,17 @@ RULES = [
     SecretRule("forge", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
     SecretRule("url", 1, r"[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1, r"://[^\x20\x09-\x0D/:@]+:"),
 ]
+# A whole private key: to its END line, past single hyphens; without one, to the last token of
+# its base64 body, which may be quoted, prefixed or have escaped line ends. A tail that lost its
+# BEGIN line goes as well. All but the short parts are possessive, so long texts do not recurse.
+_GAP = r"""(?:[\x20\x09-\x0D"'>#*|,;]|\\[nrt])"""
+_HEAD = rf"{_GAP}*+[A-Za-z][A-Za-z0-9-]*+:\x20[^\n\r\\]*+"
+_TOKEN = rf"""{_GAP}*+(?:[A-Za-z0-9+/=]{{16,}}+|[A-Za-z0-9+/=]++(?=[\x20\x09]*+(?:["',;\\\n\r]|\z)))"""
+_END = r"-{5,}END [A-Z ]*PRIVATE KEY-----"
+WHOLE_KEY = (rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+{_END}|(?:(?:{_HEAD})*+(?:{_TOKEN})++)?+)"
+             rf"|(?:[A-Za-z0-9+/=]{{16,}}+{_GAP}++){{0,400}}+(?:[A-Za-z0-9+/=]++{_GAP}++)?+{_END}")
+#: What ``redact_secrets`` looks for. The report keeps version 1 of the rule, which its SQL states.
+REDACT_RULES = [replace(r, version=2, pattern=WHOLE_KEY) if r.kind == "pem" else r for r in RULES]
 SPANS = "array<struct<start:int,end:int>>"
 PAIRS = f"array<struct<kind:string,version:int,spans:{SPANS}>>"
 LEDGER = f"blob string, pairs {PAIRS}"
@@ -161,17 +172,17 @@ def secret_report(docs: DataFrame, path: str | None = None) -> DataFrame:
 def redact_secrets(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``, with found spans replaced by ``mark``.
 
-    Texts without findings, null ones too, stay as they are. ``n_chars``, where
-    present, follows the new text.
+    Of a private key the body goes with its header. Texts without findings, null
+    ones too, stay as they are. ``n_chars``, where present, follows the new text.
     """
     path = path or scratch_path(docs.sparkSession, "ledger")
     blob, pairs = fresh_name(docs, "blob"), fresh_name(docs, "pairs")
-    findings = all_findings(docs, path).select(
+    findings = all_findings(docs, path, REDACT_RULES).select(
         F.col("blob").alias(blob), F.col("pairs").alias(pairs)).where(F.size(pairs) > 0).groupBy(blob).agg(
         F.first(pairs).alias(pairs))
     joined = docs.withColumn(blob, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(findings, blob, "left")
     text = F.col("text")
-    spans = spans_of(F.col(f"`{pairs}`"), RULES)
+    spans = spans_of(F.col(f"`{pairs}`"), REDACT_RULES)
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("until"))
     cut = F.aggregate(
         spans, empty,
