@@ -137,7 +137,63 @@ SELECT doc_id, CAST(length(body) AS BIGINT) AS n_chars, CAST(coalesce(gone, 0) A
 FROM cut LEFT JOIN told USING (doc_id)""".replace("__UNIT__", UNIT)
 
 
+_PAGES = """
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+told AS (
+    SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(h, 5 * g + 1, 5) AS BIGINT)) AS fives,
+        min(page_id) OVER (PARTITION BY body) AS first FROM hashed)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(fives, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id != first THEN first END AS refers_to
+FROM told"""
+
+
+_RESAMPLE = r"""
+WITH steps AS (
+    SELECT list(crc ORDER BY b) AS step FROM (
+        SELECT b, list_reduce(list_concat([b], range(8)), lambda c, _: CASE WHEN c & 1 = 1
+            THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256) AS r(b))),
+texts AS (
+    SELECT row_number() OVER () AS rid, 0 AS side, doc_id, text FROM documents
+    UNION ALL SELECT row_number() OVER (), 1, NULL, text FROM benchmark),
+worded AS (
+    SELECT rid, side, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT rid, side, unnest(w) AS word FROM worded),
+hexed AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM features),
+hashed AS (
+    SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(h) // 2),
+        lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, step[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS bucket
+    FROM hexed, steps),
+counts AS (
+    SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t
+    FROM features JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (
+    SELECT bucket, floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000)
+        / ((CAST(s AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS gain FROM counts, sums),
+weights AS (
+    SELECT rid, floor(sum(gain) / count(*)) AS weight
+    FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY rid),
+scored AS (
+    SELECT rid, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256(
+            concat('2024:', doc_id)), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+    FROM worded LEFT JOIN weights USING (rid) WHERE side = 0),
+placed AS (
+    SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+    FROM scored WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+    CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (rid)"""
+
+
 def statements() -> dict[str, str]:
     return {"op2_unit_dedup": _UNITS, "op3_secret_ledger": _SECRETS, "op6_int8_pairs": _VECTORS,
             "op7_hyperminhash": _NEAR,
-            "op9_quality_rules": _rule_sql()}
+            "op9_quality_rules": _rule_sql(), "op11_warc_dictionary": _PAGES,
+            "op13_importance_resampling": _RESAMPLE}

@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in catalog.all_queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*catalog.all_queries(), "pipeline"} <= set(contract.queries())
     assert set(oracle.statements()) <= set(catalog.all_queries())
 
@@ -27,6 +27,8 @@ COLUMNS = {
     "op4_variable_bins": ["doc_id", "piece", "start", "n_tokens", "bin_id", "bin_start", "bin_size"],
     "op5_piece_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op8_packed_ids": ["shard", "row", "n_tokens", "ids_sha256", "cu_seqlens", "resets", "doc_ids", "doc_starts"],
+    "op12_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+                           "collapsed_sha256"],
     "op10_word_lexicon": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
