@@ -58,9 +58,10 @@ def test_files_hold_the_texts(spark, sf_dir, tmp_path):
         else:
             assert (record.record_type, bytes(record.payload).decode(), record.url) == ("response", row.html, row.url)
     # every record opens alone from its offset, with the dictionary of the leading frame
-    largest = max(files, key=lambda f: f.stat().st_size)
-    record = next(r for r in stored.values() if r.archive.endswith(largest.name) and r.record_type == "response")
-    held = largest.read_bytes()
+    learnt = {r.archive for r in manifest.where("dictionary_bytes > 0").collect()}
+    record = next(r for r in stored.values() if r.archive in learnt and r.record_type == "response")
+    with open(record.archive.removeprefix("file://"), "rb") as file:
+        held = file.read()
     assert int.from_bytes(held[:4], "little") == warc.DICTIONARY_MAGIC
     size = int.from_bytes(held[4:8], "little")
     words = zstandard.ZstdCompressionDict(held[8:8 + size])
