@@ -99,7 +99,7 @@ def _create(folder: str) -> tuple[str, pa.NativeFile]:
     files, root = pyarrow.fs.FileSystem.from_uri(folder)
     name = f"{uuid.uuid4().hex}.warc.zst"
     files.create_dir(root, recursive=True)
-    return f"{folder.rstrip('/')}/{name}", files.open_output_stream(f"{root.rstrip('/')}/{name}")
+    return f"{folder.rstrip('/')}/{name}", files.open_output_stream(f"{root.rstrip('/')}/{name}", compression=None)
 
 
 def write_archive(folder: str, records: list[bytes], date: str = DATE) -> tuple[str, int, int, int, int]:
@@ -269,7 +269,7 @@ def read_archives(archives: DataFrame, payloads: bool = True, batch_bytes: int =
             for archive in batch.column("archive").to_pylist():
                 files, path = pyarrow.fs.FileSystem.from_uri(archive)
                 held, size = [], 0
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     for offset, record in archive_frames(stream):
                         page = parse_record(record)
                         if page is None:
