@@ -20,7 +20,11 @@ def components(links: DataFrame) -> DataFrame:
     smaller neighbours as well (small star); rounds grow with the logarithm of
     the longest chain. Every round is a stored table.
     """
+    def stamp(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first())
+
     edges = materialize(_directed(links), "links")
+    told = stamp(edges)
     while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
             edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
@@ -31,8 +35,8 @@ def components(links: DataFrame) -> DataFrame:
         small = _directed(hung.select(F.col("m").alias("a"), F.col("least").alias("b")).unionByName(
             low.select(F.col("v").alias("a"), F.col("least").alias("b"))))
         after = materialize(small, "links")
-        stamp = [F.count("*"), F.bit_xor(F.xxhash64("v", "m"))]
-        if edges.agg(*stamp).first() == after.agg(*stamp).first():
+        before, told = told, stamp(after)
+        if before == told:
             break
         edges = after
     return after.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(

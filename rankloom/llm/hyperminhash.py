@@ -8,11 +8,13 @@ its key. Documents that share a band are candidates; the register agreement,
 corrected for chance collisions, gives a Jaccard estimate that drops hopeless
 candidates; full shingle sets confirm the rest.
 
-Candidates come in three exact steps, none of which lists all pairs of a large
-group: every document against the least document of each of its buckets; then,
-for buckets still split between components, pairs of small buckets, and tiles
-of large ones, inside which only documents of different components are compared
-and only joining links leave the task.
+Candidates become families first, sets are compared inside families. Families are
+what plausible estimates connect, found from registers alone, slice of bands by
+slice of bands: once documents belong to one family, the buckets they fill alone
+are dropped before anything is joined to them. Then the sets of a family, each
+once and not once per bucket, confirm the links that made it, and where that
+leaves a family in parts, tiles compare the parts. No step lists all pairs of a
+group: only links that join something leave a task.
 """
 
 from __future__ import annotations
@@ -29,20 +31,31 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.components import components
 from rankloom.llm.frames import fresh_name, id_text
-from rankloom.session import broadcast_if_small, materialize
+from rankloom.session import materialize
 
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 56, 8
 REGISTERS = BANDS * ROWS
+#: Bands per slice; those left over are the last slice.
+SLICES = (8, 16)
+#: Buckets of few documents are folded where their documents are the same. Results do not depend on it.
 SMALL_BUCKET = 8
-TILE_BYTES = 4 << 20
+#: Registers, or registers and sets, in one block of a tile.
+TILE_BYTES = 2 << 20
+SET_TILE_BYTES = 4 << 20
+FEW_IDS = 1_000_000
 _TRIES = 24
 _U = np.uint64
 
 
 def bands_for(percent: int) -> int:
-    """Bands of ``ROWS`` registers that all miss a pair at the threshold with a chance of 2e-8 at most."""
+    """Bands of ``ROWS`` registers that all miss a pair at the threshold with a chance of 2e-8 at most.
+
+    The chance takes bands for independent. Those of a text with far fewer shingles
+    than registers repeat each other's hashes and are not; a trial in the tests
+    finds no such pair missed either.
+    """
     return math.ceil(math.log(2e-8) / math.log(1 - (percent / 100) ** ROWS))
 
 
@@ -181,8 +194,8 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())],
                                              names=["id", "shingles"])
 
-    wanted = id_text(docs).join(broadcast_if_small(ids.select(F.col("id").alias("doc_id")), 1_000_000), "doc_id",
-                                "left_semi")
+    wanted, ids = id_text(docs), ids.select(F.col("id").alias("doc_id")).distinct()
+    wanted = wanted.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
     return wanted.mapInArrow(run, "id bigint, shingles binary")
 
 
@@ -191,10 +204,17 @@ def _matrix(column: pa.Array, count: int) -> np.ndarray:
     return flat.view(np.uint8).reshape(len(column), count)
 
 
+def _needed(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose id is among ``ids``, where those are counted as few; else all."""
+    ids = ids.select("id").distinct()
+    return table.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= FEW_IDS else table
+
+
 def _with_signs(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     for end in ("a", "b"):
-        pairs = pairs.join(signs.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"),
-                                        F.col("bands").alias(f"bands_{end}")), end)
+        some = _needed(signs, pairs.select(F.col(end).alias("id")))
+        pairs = pairs.join(some.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"),
+                                       F.col("bands").alias(f"bands_{end}")), end)
     return pairs
 
 
@@ -231,82 +251,172 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-class _Union:
-    """Disjoint sets over the few rows of one tile."""
-
-    def __init__(self, groups: list[int]) -> None:
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(g, i) for i, g in enumerate(groups)]
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def tile_links(ids: np.ndarray, comps: list[int], sides: np.ndarray, regs: np.ndarray, sets: list[np.ndarray],
-               within: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Joining links of one tile: best estimates are confirmed first, and pairs
-    that meanwhile belong together are passed over."""
-    union, links = _Union(comps), []
-    sizes = np.array([len(s) for s in sets])
+def tile_links(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, regs: np.ndarray, sizes: np.ndarray,
+               within: bool, percent: int = PERCENT, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Joining links of one tile: for each row the other parts' rows, best estimates
+    first; what a link has joined is passed over. ``sets`` confirm a link, where
+    they are given."""
+    links, label, count = [], np.unique(comps, return_inverse=True)[1], regs.shape[1]
+    cells = cell_chances(sizes, count)
     rows = np.arange(len(ids)) if within else np.flatnonzero(sides == 0)
-    others = np.arange(len(ids)) if within else np.flatnonzero(sides == 1)
-    count = regs.shape[1]
-    group, cells = np.array(comps), cell_chances(sizes, count)
-    found = []
-    for i in rows:
-        mates = others[others > i] if within else others
-        mates = mates[group[mates] != group[i]]
-        if len(mates):
-            same = (regs[mates] == regs[i]).mean(axis=1)
-            jaccard, good = estimates(same, cells[mates] @ cells[i], sizes[i], sizes[mates], percent, count)
-            found += [(-e, i, j) for e, j in zip(jaccard[good], mates[good], strict=True)]
-    for _, i, j in sorted(found):
-        if union.root(i) != union.root(j) and linked(sets[i], sets[j], percent):
-            union.join(i, j)
-            links.append((int(ids[i]), int(ids[j])))
+    others = rows if within else np.flatnonzero(sides == 1)
+    for turn, i in enumerate(rows):
+        mates = others[turn + 1:] if within else others
+        mates = mates[(label[mates] != label[i]) & (100 * np.minimum(sizes[mates], sizes[i]) >= percent * np.maximum(
+            sizes[mates], sizes[i]))]
+        if not len(mates):
+            continue
+        same = (regs[mates] == regs[i]).mean(axis=1)
+        jaccard, good = estimates(same, cells[mates] @ cells[i], sizes[i], sizes[mates], percent, count)
+        order = np.argsort(-jaccard[good], kind="stable")
+        for j in mates[good][order]:
+            if label[i] != label[j] and (sets is None or linked(sets[i], sets[j], percent)):
+                label[label == label[j]] = label[i]
+                links.append((int(ids[i]), int(ids[j])))
     return links
 
 
-def _tiles(rows: DataFrame, percent: int = PERCENT, count: int = REGISTERS) -> DataFrame:
-    """Links from ``rows(bucket, i, j, side, id, comp, bands, shingles)``; one tile
-    after the other as they lie in a sorted partition."""
+def _tiles(rows: DataFrame, percent: int, count: int) -> DataFrame:
+    """Joining links (a, b) of ``rows(bucket, size, id, comp, n, bands[, shingles])``.
+
+    ``size`` is the number of blocks of a bucket; a tile is two blocks. One tile
+    after the other as they lie in a sorted partition.
+    """
+    block = F.pmod(F.xxhash64("id"), F.col("size")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    rows = rows.withColumns({
+        "i": F.least("block", "other"), "j": F.greatest("block", "other"),
+        "side": (F.col("block") > F.col("other")).cast("int")}).drop("block", "other", "size")
+    with_sets = "shingles" in rows.columns
+
     def finish(tile: list) -> list[tuple[int, int]]:
-        ids = np.array([r[4] for r in tile])
-        regs = np.stack([np.frombuffer(r[6], np.uint8) for r in tile])
-        return tile_links(ids, [r[5] for r in tile], np.array([r[3] for r in tile]), regs,
-                          [np.frombuffer(r[7], np.uint64) for r in tile], tile[0][1] == tile[0][2], percent)
+        ids, comps, sides, sizes = (np.array([r[k] for r in tile]) for k in (4, 5, 3, 6))
+        regs = np.stack([np.frombuffer(r[7], np.uint8) for r in tile])
+        sets = [np.frombuffer(r[8], np.uint64) for r in tile] if with_sets else None
+        return tile_links(ids, comps, sides, regs, sizes, tile[0][1] == tile[0][2], percent, sets)
+
+    def pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: list = []
         for batch in batches:
-            plain = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "comp")]
-            regs, sets = _matrix(batch.column("bands"), count), batch.column("shingles")
-            links = []
+            plain = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "side", "id", "comp", "n")]
+            regs, links = _matrix(batch.column("bands"), count), []
+            sets = batch.column("shingles") if with_sets else None
             for k, row in enumerate(zip(*plain, strict=True)):
                 if tile and tile[0][:3] != row[:3]:
                     links += finish(tile)
                     tile = []
-                tile.append((*row, regs[k].tobytes(), sets[k].as_py()))
-            yield _pairs(links)
+                tile.append((*row, regs[k].tobytes(), sets[k].as_py() if with_sets else None))
+            yield pairs(links)
         if tile:
-            yield _pairs(finish(tile))
-
-    def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+            yield pairs(finish(tile))
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def band_slices(bands: int) -> list[tuple[int, int]]:
+    edges = [0, *np.minimum(np.cumsum(SLICES), bands).tolist(), bands]
+    return [(low, high) for low, high in zip(edges, edges[1:], strict=False) if low < high]
+
+
+class LinkTables:
+    """Stored tables of links (a, b) and the components that they make, worked out
+    anew only where a table that is not empty was added."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self._joined: DataFrame | None = None
+
+    def add(self, links: DataFrame) -> None:
+        if not links.isEmpty():
+            self.tables.append(links)
+            self._joined = None
+
+    def joined(self) -> DataFrame | None:
+        """(id, component) of every id that a link has; None without links."""
+        if self._joined is None and self.tables:
+            self._joined = materialize(components(functools.reduce(DataFrame.unionByName, self.tables)), "joined")
+        return self._joined
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``comp``: the component of its id."""
+        joined = self.joined()
+        if joined is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(joined, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
+def open_buckets(signs: DataFrame, found: LinkTables, low: int, high: int) -> DataFrame:
+    """(bucket, size, leader, id, comp) of the buckets of some bands that ``found`` does not join into one component.
+
+    Sizes and least ids are stored, so that the join back is between two shuffles
+    and a hot bucket can be split.
+    """
+    ids = found.place(signs.select("id", F.slice("bands", low + 1, high - low).alias("bands")))
+    keyed = ids.select("id", "comp", F.posexplode("bands")).select(
+        "id", "comp", F.xxhash64(F.col("pos") + low, "col").alias("bucket"))
+    still = keyed.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.min("id").alias("leader"), F.min("comp").alias("least"),
+        F.max("comp").alias("most")).where("least < most")
+    still = materialize(still.select("bucket", "size", "leader"), "sizes")
+    return materialize(keyed.join(still, "bucket").select("bucket", "size", "leader", "id", "comp"), "open_buckets")
+
+
+def family_links(signs: DataFrame, percent: int = PERCENT, count: int = REGISTERS) -> LinkTables:
+    """Plausible links that join all documents which plausible pairs connect.
+
+    A slice of bands is taken with what the slices before have joined. In the
+    first, every document meets the least one of each of its buckets; then buckets
+    that still hold several families are tiled, small ones of the same documents
+    once.
+    """
+    found = LinkTables()
+    for turn, (low, high) in enumerate(band_slices(count // ROWS)):
+        rows = open_buckets(signs, found, low, high)
+        if turn == 0:
+            led = rows.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+            best = plausible(materialize(led.distinct(), "led"), signs, percent, count).groupBy("a").agg(
+                F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
+            found.add(materialize(best, "led_links"))
+            rows = open_buckets(signs, found, low, high)
+        if rows.isEmpty():
+            continue
+        few = rows.where(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(
+            F.array_sort(F.collect_set(F.struct("id", "comp"))).alias("of")).select("of").distinct()
+        few = few.select(F.xxhash64("of").alias("bucket"), F.lit(1).alias("size"), F.explode("of").alias("one"))
+        many = rows.where(F.col("size") > SMALL_BUCKET)
+        blocks = F.ceil(F.col("size") * F.lit(count) / F.lit(TILE_BYTES)).cast("int")
+        tiled = few.select("bucket", "size", "one.id", "one.comp").unionByName(
+            many.select("bucket", blocks.alias("size"), "id", "comp"))
+        tiled = tiled.join(_needed(signs, rows).select("id", "n", "bands"), "id")
+        found.add(materialize(_tiles(tiled, percent, count), "tile_links"))
+    return found
+
+
+def exact_links(docs: DataFrame, signs: DataFrame, families: LinkTables, percent: int = PERCENT,
+                count: int = REGISTERS) -> LinkTables:
+    """Links between full sets that join all which such links connect within a family."""
+    found, family = LinkTables(), families.joined()
+    if family is None:
+        return found
+    sets = materialize(full_sets(docs, family.select("id")).dropDuplicates(["id", "shingles"]), "sets")
+    pairs = functools.reduce(DataFrame.unionByName, families.tables).distinct()
+    found.add(materialize(confirmed(pairs, sets, percent), "first_links"))
+    placed = found.place(family.withColumnRenamed("component", "bucket").join(_needed(signs, family), "id"))
+    parts = placed.groupBy("bucket").agg(
+        F.min("comp").alias("least"), F.max("comp").alias("most"), F.ceil(
+            F.sum(8 * F.col("n") + count) / F.lit(SET_TILE_BYTES)).cast("int").alias("size")).where("least < most")
+    parts = materialize(parts.select("bucket", "size"), "parted")
+    tiled = placed.join(parts, "bucket").join(sets, "id")
+    found.add(materialize(_tiles(tiled.select(
+        "bucket", "size", "id", "comp", "n", "bands", "shingles"), percent, count), "last_links"))
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
@@ -330,46 +440,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signs = materialize(
         signed.join(classes, (signed.digest == classes.digest) & (signed.doc_id == classes.id)).select(
             "id", F.col("n_shingles").alias("n"), "bands").dropDuplicates(["id", "n", "bands"]), "registers")
-    keyed = signs.select("id", F.posexplode("bands")).select("id", F.xxhash64("pos", "col").alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
-    # Stored, so that the join back is between two shuffles and a hot bucket can be split.
-    buckets = materialize(buckets, "sizes")
-    shared = materialize(keyed.join(buckets, "bucket"), "buckets")
-
-    # every document against the least one of its buckets: the best estimate first
-    led = shared.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    best = plausible(led, signs, percent, count).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    sets = materialize(full_sets(docs, shared.select("id").distinct()).dropDuplicates(["id", "shingles"]), "sets")
-    first = materialize(confirmed(best, sets, percent), "first_links")
-    early = components(first)
-
-    # buckets still split between components
-    placed = shared.join(early, "id", "left").select(
-        "bucket", "id", "size", F.coalesce("component", "id").alias("comp"))
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    split = materialize(split.select("bucket"), "split")
-    open_rows = materialize(placed.join(split, "bucket"), "open_buckets")
-    small = open_rows.where(F.col("size") <= SMALL_BUCKET)
-    mates = small.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = (small.withColumnRenamed("id", "a").join(mates, "bucket").where("a < b and comp != comp_b")
-             .select("a", "b").distinct())
-    few = confirmed(plausible(pairs, signs, percent, count), sets, percent)
-
-    large = open_rows.where(F.col("size") > SMALL_BUCKET)
-    held = large.join(sets, "id").join(signs.select("id", "bands"), "id")
-    counts = large.join(sets.select("id", F.length("shingles").alias("bytes")), "id").groupBy("bucket").agg(
-        F.ceil(F.sum(F.col("bytes") + count) / F.lit(TILE_BYTES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    held = held.join(counts, "bucket").withColumn("block", block)
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = held.select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "comp", "bands", "shingles")
-    many = _tiles(tiles, percent, count)
-    last = materialize(few.unionByName(many), "last_links")
-    found = components(first.unionByName(last))
-
-    named = classes.join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("of_class"))
+    found = exact_links(docs, signs, family_links(signs, percent, count), percent, count)
+    named = found.place(classes).select("digest", F.col("comp").alias("of_class"))
     alone = F.col("digest").isNull()
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(alone, F.col("doc_id")).otherwise(
         F.col("of_class"))

@@ -67,7 +67,7 @@ def test_stages_equal_plain_versions(spark, sf_dir):
     assert after.columns == columns and pairs(after) == [r for r in before if plain_good(r[1])]
     docs, before = after, pairs(after)
     after = stages["near_duplicates"](spark, docs, sf_dir)
-    groups = plain_components(plain_sets(before))
+    groups = plain_components(plain_sets(before), corpus_pipeline.NEAR_PERCENT)
     assert after.columns == columns and pairs(after) == [r for r in before if groups[r[0]] == r[0]]
     docs, before = after, pairs(after)
     after = stages["substring_dedup"](spark, docs, sf_dir)
