@@ -17,6 +17,8 @@ from rankloom.llm.frames import SPACE_CHARS, fresh_name, let, running_sums
 from rankloom.session import materialize
 
 MIN_WORDS = 15
+#: Row number of rows without an id.
+NO_ID = 2 ** 63 - 1
 _S = r"\x20\x09-\x0D"
 UNIT = rf"(?:[{_S}]*(?:[^{_S}]+[{_S}]+){{4}}[^.!?\n]*(?:[.!?\n][.!?{_S}]*|\z))|(?:[\x00-\x{{10FFFF}}]+)"
 SPANS = "array<struct<start:int,end:int>>"
@@ -33,14 +35,21 @@ def normal_form(unit: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(row, mark, pos, rank, words, h1, h2): every unit of every row with its
-    128-bit digest. ``rank`` orders by row, then position, in one number, which
-    a hash aggregation can keep."""
+    128-bit digest. ``rank`` orders by row, then text, then position, in one number,
+    which a hash aggregation can keep. Texts without an id rank by their hash, after
+    all that have one; those that share an id by 26 bits of it."""
     units = F.transform(units_of(F.col("text")), lambda u: let(normal_form(u), lambda x: F.struct(
         F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("unit"), x).alias("h2"),
         F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words"))))
-    found = docs.select("row", "mark", F.posexplode(units).alias("pos", "u")).where("u.words > 0")
-    rank = (F.col("row").cast("decimal(19,0)") * F.lit(2 ** 31).cast("decimal(10,0)") + F.col("pos")).cast(
-        "decimal(38,0)")
+    wide = "decimal(20,0)"
+    mark = F.col("mark").cast(wide)
+    # an unsigned hash behind all ids: 2^63 more, and 2^64 more where the hash is negative
+    shift = F.when(mark < 0, F.lit(str(2 ** 64 + 2 ** 63))).otherwise(F.lit(str(2 ** 63))).cast(wide)
+    row = F.when(F.col("row") == NO_ID, mark + shift).otherwise(F.col("row")).cast(wide)
+    base = row * F.lit(2 ** 57).cast("decimal(18,0)") + F.col("mark").bitwiseAND(2 ** 26 - 1) * F.lit(2 ** 31)
+    found = docs.select("row", "mark", base.cast("decimal(38,0)").alias("base"), F.posexplode(units).alias(
+        "pos", "u")).where("u.words > 0")
+    rank = (F.col("base") + F.col("pos")).cast("decimal(38,0)")
     return found.select("row", "mark", "pos", rank.alias("rank"), "u.words", "u.h1", "u.h2")
 
 
@@ -72,7 +81,8 @@ def runs_by_row(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             acc["open"]["high"] + 1 == u["pos"], F.struct(acc["done"].alias("done"), longer.alias("open"))).otherwise(
             F.struct(_closed(acc, min_words).alias("done"), one.alias("open")))
 
-    listed = repeated_units(docs).groupBy("row", "mark").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("units"))
+    # A set: rows that repeat a text name each of its places once, folded before the shuffle.
+    listed = repeated_units(docs).groupBy("row", "mark").agg(F.array_sort(F.collect_set(F.struct("pos", "words"))).alias("units"))
     runs = F.aggregate("units", start, step, lambda acc: _closed(acc, min_words))
     return listed.select("row", "mark", runs.alias("runs")).where(F.size("runs") > 0)
 
@@ -103,7 +113,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame
     """``docs`` with shortened texts and one more column of removed spans, whose
     name is returned. See ``dedup_report`` for the awkward cases."""
     names = {n: fresh_name(docs, n) for n in ("row", "mark", "runs", "removed")}
-    ranked = docs.withColumns({names["row"]: F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)),
+    ranked = docs.withColumns({names["row"]: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
                                names["mark"]: F.xxhash64("text")})
     plain = ranked.select(F.col(names["row"]).alias("row"), F.col(names["mark"]).alias("mark"),
                           F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -131,10 +141,10 @@ def dedup_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``removed_spans`` lists start:end in code points of the original text. Null
     and blank texts have no units and stay as they are (null counts as empty
-    here). Rows rank by doc_id, null ids last. Rows that share an id, or whose
-    ids are null, count as one document: of two equal rows neither loses text to
-    the other, while a unit that one of them has at another place is removed. An
-    empty table gives an empty one. Other columns are not carried.
+    here). Rows rank by doc_id, null ids last; different texts of one id, or
+    without one, rank by a hash. Equal rows count as one document: neither loses
+    text to the other, and what an earlier document holds goes from both. An empty
+    table gives an empty one. Other columns are not carried.
     """
     table, removed = drop_repeats(docs.select("doc_id", "text"), min_words)
     gone = F.aggregate(removed, F.lit(0), lambda a, s: a + s["end"] - s["start"])

@@ -3,6 +3,9 @@
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rankloom.llm import quality_rules, secret_ledger, unit_dedup, variable_bins
 from tests.llm.helpers import awkward, documents, nothing
@@ -95,6 +98,36 @@ def test_repeats_report(spark, sf_dir):
     assert any(got.values())
 
 
+def plain_ranked(rows):
+    """``plain_repeats`` for repeated rows and null ids: one document per (id, text)."""
+    def rank(row):
+        mark = xxhash.xxh64((row[1] or "").encode(), seed=42).intdigest()
+        return (row[0] is None, mark if row[0] is None else row[0], mark % 2 ** 26)
+
+    known = sorted(set(rows), key=rank)
+    spans = plain_repeats([(row, row[1]) for row in known])
+    return Counter((row[0], ",".join(f"{a}:{b}" for a, b in spans[row]), sum(b - a for a, b in spans[row]),
+                    len(row[1] or "")) for row in rows)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """What an earlier document holds goes from equal rows alike, and from all but one of the texts without an id."""
+    passages = [" ".join(f"p{p}s{k} one two three four five six seven eight nine." for k in range(4)) for p in range(3)]
+    other = "Something else stands here that no other text has at all number {0}. "
+    rows = [(1, passages[0] + " The end of it is here now."), (2, other.format(2) + passages[0]),
+            (2, other.format(2) + passages[0]), (3, other.format(3) + passages[0]),
+            *[(None, other.format(9) + passages[0])] * 3,
+            *[(None, f"{passages[1]} {other.format(k)}") for k in range(10, 15)], (4, passages[2] + " one."),
+            (4, passages[2] + " two."), (None, None), (None, None), (5, "")] + [(7, passages[0] + passages[2])] * 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = unit_dedup.dedup_report(docs).collect()
+    assert Counter((r.doc_id, r.removed_spans, r.removed_chars, r.n_chars) for r in got) == plain_ranked(rows)
+    without = [r for r in got if r.doc_id is None and r.n_chars and "s0" not in r.removed_spans]
+    assert sum(r.removed_chars > 0 for r in without) == 3 + 4
+    shortened, removed = unit_dedup.drop_repeats(docs.withColumn("n_chars", F.char_length("text")))
+    assert all(r.n_chars == len(r.text) for r in shortened.where("text is not null").collect())
+
+
 def test_planted_passage_inside_lines(spark):
     host = "Alpha beta gamma delta epsilon zeta eta theta number {0} iota kappa. Lambda mu nu xi omicron pi {0} rho sigma."
     passage = " ".join(f"Pass{k} word one two three four five six seven eight nine." for k in range(6))
