@@ -47,8 +47,12 @@ _SECRETS = r"""
 WITH kinds(kind, turn, pattern, grp, least) AS (VALUES
     ('assign', 0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 8),
     ('access', 1, 'AKIA[A-Z0-9]+', 0, 16), ('hex', 2, '[0-9a-f]{32,}', 0, 32),
-    ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 1), ('forge', 4, 'gh[pousr]_[A-Za-z0-9]+', 0, 40),
-    ('url', 5, '[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@', 0, 1)),
+    ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-{5,}END [A-Z ]*PRIVATE KEY-----'
+        || '|(?:(?:__GAP__*[A-Za-z][A-Za-z0-9-]*:\x20[^\n\r\\]*)*(?:__GAP__*(?:[A-Za-z0-9+/=]{16,}'
+        || '|[A-Za-z0-9+/=]+[\x20\x09]*(?:["'',;\n\r]|\\[nrt]|\\|\z)))+)?)', 0, 1),
+    ('pem_tail', 4, '(?:[A-Za-z0-9+/=]{16,}__GAP__+)*(?:[A-Za-z0-9+/=]+__GAP__+)?-{5,}END [A-Z ]*PRIVATE KEY-----', 0, 1),
+    ('forge', 5, 'gh[pousr]_[A-Za-z0-9]+', 0, 40),
+    ('url', 6, '[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@', 0, 1)),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
 cut AS (
     SELECT rid, kind, turn, least, regexp_extract_all(body, pattern) AS m,
@@ -58,7 +62,11 @@ cut AS (
 spans AS (
     SELECT rid, kind, turn, length(w[i]) AS wide, least,
         list_sum(list_transform(gaps[1:i], lambda x: length(x)))
-            + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, s + length(m[i]) AS e
+            + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS found_at,
+        -- the letter of an escaped line end is none of a tail's first token
+        found_at + CASE WHEN kind = 'pem_tail' AND right(gaps[i], 1) = chr(92) THEN 1 ELSE 0 END AS s,
+        found_at + length(CASE kind WHEN 'pem' THEN regexp_replace(m[i], '(?:[\x20\x09-\x0D"'',;]|\\[nrt]|\\)+$', '')
+            ELSE m[i] END) AS e  -- a short last token is matched with the line end after it
     FROM cut, unnest(range(1, len(m) + 1)) AS u(i)),
 kept AS (SELECT *, concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) AS said FROM spans WHERE wide >= least),
 told AS (
@@ -70,7 +78,7 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
     sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
 FROM docs LEFT JOIN told USING (rid)""".replace(
     "__ASSIGN__",
-    r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
+    r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""").replace("__GAP__", r"""(?:[\x20\x09-\x0D"''>#*|,;]|\\[nrt])""")
 
 
 _NEAR = r"""

@@ -9,7 +9,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +23,8 @@ from rankloom.session import materialize, scratch_path
 class SecretRule:
     """Matches are taken leftmost and non-overlapping; those whose ``group`` is
     shorter than ``least`` characters are dropped afterwards. ``hint`` is a
-    cheaper pattern that every text with a kept match has."""
+    cheaper pattern that every text with a kept match has. A ``backward`` pattern is
+    matched against the reversed text."""
 
     kind: str
     version: int
@@ -31,6 +32,7 @@ class SecretRule:
     group: int
     least: int
     hint: str
+    backward: bool = False
 
     @property
     def key(self) -> str:
@@ -44,23 +46,26 @@ BASE_RULES = [
     SecretRule("access", 1, r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
     SecretRule("hex", 1, r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
 ]
-RULES = [
-    *BASE_RULES,
-    SecretRule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"PRIVATE KEY-----"),
-    SecretRule("forge", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
-    SecretRule("url", 1, r"[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1, r"://[^\x20\x09-\x0D/:@]+:"),
-]
 # A whole private key: to its END line, past single hyphens; without one, to the last token of
 # its base64 body, which may be quoted, prefixed or have escaped line ends. A tail that lost its
-# BEGIN line goes as well. All but the short parts are possessive, so long texts do not recurse.
+# BEGIN line is found from its END line back, as long as tokens last. All but the short parts are
+# possessive, so long texts do not recurse.
 _GAP = r"""(?:[\x20\x09-\x0D"'>#*|,;]|\\[nrt])"""
 _HEAD = rf"{_GAP}*+[A-Za-z][A-Za-z0-9-]*+:\x20[^\n\r\\]*+"
 _TOKEN = rf"""{_GAP}*+(?:[A-Za-z0-9+/=]{{16,}}+|[A-Za-z0-9+/=]++(?=[\x20\x09]*+(?:["',;\\\n\r]|\z)))"""
-_END = r"-{5,}END [A-Z ]*PRIVATE KEY-----"
-WHOLE_KEY = (rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+{_END}|(?:(?:{_HEAD})*+(?:{_TOKEN})++)?+)"
-             rf"|(?:[A-Za-z0-9+/=]{{16,}}+{_GAP}++){{0,400}}+(?:[A-Za-z0-9+/=]++{_GAP}++)?+{_END}")
-#: What ``redact_secrets`` looks for. The report keeps version 1 of the rule, which its SQL states.
-REDACT_RULES = [replace(r, version=2, pattern=WHOLE_KEY) if r.kind == "pem" else r for r in RULES]
+WHOLE_KEY = (rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-{{5,}}END [A-Z ]*PRIVATE KEY-----"
+             rf"|(?:(?:{_HEAD})*+(?:{_TOKEN})++)?+)")
+_BACK_GAP = r"""(?:[\x20\x09-\x0D"'>#*|,;]|[nrt]\\)"""
+_BACK_CHAR = r"(?:[A-Za-z0-9+/=](?!\\))"
+KEY_TAIL = (rf"-----YEK ETAVIRP[A-Z ]*\x20DNE-{{5,}}+(?:{_BACK_GAP}++{_BACK_CHAR}++)?+"
+            rf"(?:{_BACK_GAP}++{_BACK_CHAR}{{16,}}+)*+")
+RULES = [
+    *BASE_RULES,
+    SecretRule("pem", 2, WHOLE_KEY, 0, 1, r"BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("pem_tail", 1, KEY_TAIL, 0, 1, r"END [A-Z ]*PRIVATE KEY-----", backward=True),
+    SecretRule("forge", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, r"gh[pousr]_[A-Za-z0-9]{36}"),
+    SecretRule("url", 1, r"[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", 0, 1, r"://[^\x20\x09-\x0D/:@]+:"),
+]
 SPANS = "array<struct<start:int,end:int>>"
 PAIRS = f"array<struct<kind:string,version:int,spans:{SPANS}>>"
 LEDGER = f"blob string, pairs {PAIRS}"
@@ -70,12 +75,13 @@ def rule_spans(text: Column, rule: SecretRule) -> Column:
     """Code-point spans of one rule in one text, in order.
 
     The text is cut at the matches; running lengths of gaps and matches are the
-    offsets.
+    offsets. Offsets in a reversed text count from its end.
     """
-    wanted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    read = F.reverse(text) if rule.backward else text
+    wanted = F.regexp_extract_all(read, F.lit(rule.pattern), F.lit(rule.group))
 
     def spans(found: Column) -> Column:
-        gaps = F.slice(F.split(text, rule.pattern), 1, F.size(found))
+        gaps = F.slice(F.split(read, rule.pattern), 1, F.size(found))
         lengths = F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.char_length(m))
         return F.zip_with(
             let(lengths, running_sums), F.arrays_zip(found.alias("m"), wanted.alias("w")), lambda end, x: F.when(
@@ -83,9 +89,11 @@ def rule_spans(text: Column, rule: SecretRule) -> Column:
                 F.struct((end - F.char_length(x["m"])).alias("start"), end.alias("end"))))
 
     none = F.array().cast(SPANS)
-    found = let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), spans)
-    return F.when(text.rlike(rule.hint) & text.rlike(rule.pattern),
-                  F.filter(found, lambda s: s.isNotNull()).cast(SPANS)).otherwise(none)
+    found = F.filter(let(F.regexp_extract_all(read, F.lit(rule.pattern), F.lit(0)), spans), lambda s: s.isNotNull())
+    if rule.backward:
+        found = F.reverse(F.transform(found, lambda s: F.struct(
+            (F.char_length(text) - s["end"]).alias("start"), (F.char_length(text) - s["start"]).alias("end"))))
+    return F.when(text.rlike(rule.hint) & read.rlike(rule.pattern), found.cast(SPANS)).otherwise(none)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +166,11 @@ def spans_text(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Counts per base kind, a digest of the base spans, and all spans, per row."""
+    """Counts per base kind, a digest of the base spans, and all spans, per row.
+
+    The END line of a private key is found with its tail as well (``pem_tail``), so
+    a whole key has two spans, one inside the other.
+    """
     spans = F.col("spans_all")
     table = all_findings(docs, path).withColumn("spans_all", spans_of(F.col("pairs"), RULES))
     base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
@@ -177,12 +189,12 @@ def redact_secrets(docs: DataFrame, path: str | None = None, mark: str = "[SECRE
     """
     path = path or scratch_path(docs.sparkSession, "ledger")
     blob, pairs = fresh_name(docs, "blob"), fresh_name(docs, "pairs")
-    findings = all_findings(docs, path, REDACT_RULES).select(
+    findings = all_findings(docs, path, RULES).select(
         F.col("blob").alias(blob), F.col("pairs").alias(pairs)).where(F.size(pairs) > 0).groupBy(blob).agg(
         F.first(pairs).alias(pairs))
     joined = docs.withColumn(blob, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(findings, blob, "left")
     text = F.col("text")
-    spans = spans_of(F.col(f"`{pairs}`"), REDACT_RULES)
+    spans = spans_of(F.col(f"`{pairs}`"), RULES)
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("until"))
     cut = F.aggregate(
         spans, empty,

@@ -2,8 +2,12 @@
 
 import base64
 import random
+from dataclasses import replace
 
-from rankloom.llm import secret_ledger
+import duckdb
+
+from check import difference
+from rankloom.llm import oracle, secret_ledger
 
 RNG = random.Random(3)
 RAW = base64.b64encode(bytes(RNG.randrange(256) for _ in range(1190))).decode()
@@ -43,9 +47,36 @@ def test_no_line_of_a_key_is_left(spark):
         assert not any(line in got[name] for line in LINES)
 
 
-def test_ledger_of_the_old_rule_is_scanned_again(spark, tmp_path):
+def test_report_shows_what_is_redacted(spark, tmp_path):
+    """Report, SQL and redaction use one version of the rule."""
+    names = sorted(set(CASES) - {"long"})
+    docs = spark.createDataFrame([(i, CASES[n][0]) for i, n in enumerate(names)], "doc_id bigint, text string")
+    report = secret_ledger.secret_report(docs)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    known = duckdb.connect()
+    known.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = known.execute(oracle.statements()["op3_secret_ledger"]).df()
+    assert difference(report.toPandas(), want) is None
+    for row in report.collect():
+        text, found = CASES[names[row.doc_id]][0], [s.split(":") for s in row.spans.split(",")]
+        starts = [int(s[1]) for s in found if s[0].startswith("pem")]
+        assert min(starts) == CASES[names[row.doc_id]][1].index("[SECRET]")
+        assert any(text[int(a):int(b)].startswith("-----BEGIN") for k, a, b in found if k == "pem") or names[
+            row.doc_id] == "tail"
+
+
+def test_tails_have_no_length(spark):
+    """A tail of some thousand tokens goes as a whole, and long texts without END line stay."""
+    many = " ".join(f"{i:05d}" + RAW[:40] for i in range(5000))
+    rows = [(1, f"a: {many} {END} b"), (2, many), (3, f"{END} " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in secret_ledger.redact_secrets(docs).collect()}
+    assert got == {1: "a: [SECRET] b", 2: many, 3: "[SECRET] " * 3000}
+
+
+def test_ledger_of_an_older_rule_is_scanned_again(spark, tmp_path):
     docs = spark.createDataFrame([(1, CASES["whole"][0])], "doc_id bigint, text string")
-    path = str(tmp_path / "ledger")
-    assert "pem:7:38" in secret_ledger.secret_report(docs, path).collect()[0].spans
+    path, pem = str(tmp_path / "ledger"), secret_ledger.RULES[3]
+    older = [*secret_ledger.BASE_RULES, replace(pem, version=1, pattern="-----BEGIN [A-Z ]*PRIVATE KEY-----")]
+    assert secret_ledger.all_findings(docs, path, older).count() == 1
     assert secret_ledger.redact_secrets(docs, path).collect()[0].text == CASES["whole"][1]
-    assert secret_ledger.RULES[3].version == 1 and secret_ledger.REDACT_RULES[3].version == 2
