@@ -12,6 +12,10 @@ def _directed(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()
 
 
+#: Links that one task takes; small tables are not spread over all shuffle partitions.
+LINKS_PER_TASK = 50_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id that a link has.
 
@@ -23,18 +27,24 @@ def components(links: DataFrame) -> DataFrame:
     def stamp(table: DataFrame) -> tuple:
         return tuple(table.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first())
 
+    def slim(table: DataFrame) -> DataFrame:
+        return table.coalesce(tasks) if tasks < partitions else table
+
+    partitions = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = materialize(_directed(links), "links")
     told = stamp(edges)
     while True:
+        tasks = 4 + told[0] // LINKS_PER_TASK
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
             edges.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("least"))
-        large = _directed(both.join(least, "u").where("w > u").select(F.col("w").alias("a"), F.col("least").alias("b")))
+        large = slim(_directed(slim(both.join(least, "u").where("w > u").select(
+            F.col("w").alias("a"), F.col("least").alias("b")))))
         low = large.groupBy("v").agg(F.min("m").alias("least"))
-        hung = large.join(low, "v")
+        hung, low = slim(large.join(low, "v")), slim(low)
         small = _directed(hung.select(F.col("m").alias("a"), F.col("least").alias("b")).unionByName(
             low.select(F.col("v").alias("a"), F.col("least").alias("b"))))
-        after = materialize(small, "links")
+        after = materialize(slim(small), "links")
         before, told = told, stamp(after)
         if before == told:
             break

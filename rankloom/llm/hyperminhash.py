@@ -42,8 +42,8 @@ SLICES = (8, 16)
 #: Buckets of few documents are folded where their documents are the same. Results do not depend on it.
 SMALL_BUCKET = 8
 #: Registers, or registers and sets, in one block of a tile.
-TILE_BYTES = 2 << 20
-SET_TILE_BYTES = 4 << 20
+TILE_BYTES = 1 << 20
+SET_TILE_BYTES = 2 << 20
 FEW_IDS = 1_000_000
 _TRIES = 24
 _U = np.uint64
@@ -314,7 +314,9 @@ def _tiles(rows: DataFrame, percent: int, count: int) -> DataFrame:
         if tile:
             yield pairs(finish(tile))
 
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    # A number of its own: tiles are work rather than bytes, so small ones are not put together.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
