@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import ratio
 from rankloom.operators.metrics import judged_rows
-from rankloom.operators.ordering import join_null_safe, running_totals
+from rankloom.operators.ordering import join_null_safe, next_values, running_totals
 from rankloom.session import materialize
 
 
@@ -37,7 +37,10 @@ def curve_points(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     Recall without positives is 1; the false positive rate without negatives is null.
     """
-    ties = score_ties(scored, by)
+    return _points(score_ties(scored, by), by)
+
+
+def _points(ties: DataFrame, by: tuple[str, ...]) -> DataFrame:
     sums = [F.sum("p").alias("positives"), F.sum("n").alias("negatives")]
     points = _running(ties, by)
     if by:
@@ -78,5 +81,20 @@ def roc_curve(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return curve_points(scored, by).select(*by, "score", F.col("recall").alias("tpr"), "fpr")
 
 
+def roc_curve_thinned(scored: DataFrame, by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+    """(…, score, tpr, fpr): the ROC curve without the points that lie evenly between their neighbours.
+
+    A point stays when it is the first or the last, or when the step after it
+    differs from the step before it in positives or negatives; so the area is that
+    of the whole curve. A step is the point's own counts, so only the following
+    point is asked for (``next_values``).
+    """
+    ties = materialize(next_values(score_ties(scored, by), "score", ["p", "n"], by, buckets=buckets), "steps")
+    first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
+    turns = (F.col("next_p") != F.col("p")) | (F.col("next_n") != F.col("n"))
+    kept = _points(ties, by).where(first | F.col("next_p").isNull() | turns)
+    return kept.select(*by, "score", F.col("recall").alias("tpr"), "fpr")
+
+
 def auc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return curve_areas(curve_points(scored, by), by)

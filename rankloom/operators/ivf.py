@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,14 +16,14 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.search import (
-    BROADCAST_BYTES, Hits, VectorScorer, column_ids, depth, knn_join, knn_join_in_lists, small_enough)
+    BROADCAST_BYTES, Hits, VectorScorer, best_per_query, column_ids, depth, knn_join, knn_join_in_lists, small_enough)
 from rankloom.session import materialize
 from rankloom.sources.guards import MissingInput
 from rankloom.sources.stores import Index
 
 FLAT, LISTS = "flat", "lists"
-#: Rows are no measure of a broadcast; its bytes are.
-CENTROID_ROWS = 1 << 40
+#: Room for the rounding of scores and bounds.
+SLACK = 1e-6
 
 
 def list_count(rows: int) -> int:
@@ -48,14 +50,14 @@ def mean_vectors(vectors: DataFrame, by: str) -> DataFrame:
 
 
 def probe_lists(vectors: DataFrame, key: str, centroids: DataFrame, probes: int = 1,
-                max_rows: int = CENTROID_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each vector once per list among its ``probes`` best by inner product.
 
     A map over partitions while the counted bytes of the centroids may be sent to
     every worker; beyond that, vectors and centroids meet in blocks.
     """
     centroids = materialize(centroids, "centroids")
-    if not small_enough(centroids, "embedding", max_rows, max_bytes):
+    if not small_enough(centroids, "embedding", sys.maxsize, max_bytes):
         best = knn_join(vectors.select(F.col(key).alias("query_id"), "embedding"),
                         centroids.select(F.col("list_id").alias("doc_id"), "embedding"), probes)
         lists = best.select(F.col("query_id").alias(key), F.col("doc_id").cast("bigint").alias("list_id"))
@@ -111,5 +113,95 @@ def search_index(index: Index | None, queries: DataFrame, k: int | None = None,
     return knn_join_in_lists(probed, index.vectors, "list_id", depth(k), exclude_self)
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+
+
+def list_radii(index: Index) -> DataFrame:
+    """Stored (list_id, embedding, radius, members): how far the farthest vector of
+    every list lies from its centre. A task sends one row per list and batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            apart = np.linalg.norm(_rows(batch.column("embedding")) - _rows(batch.column("centre")), axis=1)
+            lists, at = np.unique(batch.column("list_id").to_numpy(), return_inverse=True)
+            farthest = np.zeros(len(lists))
+            np.maximum.at(farthest, at, apart)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lists), pa.array(farthest), pa.array(np.bincount(at).astype(np.int64))],
+                names=["list_id", "radius", "members"])
+
+    centres = index.centroids.select(F.col("list_id").cast("bigint").alias("list_id"), F.col("embedding").alias("centre"))
+    parts = index.vectors.select("list_id", "embedding").join(centres, "list_id").mapInArrow(
+        run, "list_id bigint, radius double, members bigint")
+    radii = parts.groupBy("list_id").agg(F.max("radius").alias("radius"), F.sum("members").alias("members"))
+    return materialize(radii.join(centres, "list_id").withColumnRenamed("centre", "embedding"), "radii")
+
+
+def _within_reach(queries: DataFrame, radii: DataFrame) -> DataFrame:
+    """``queries(query_id, embedding, least)`` once per list that may hold a score of ``least`` or more."""
+    block = queries.sparkSession.sparkContext.broadcast(radii.select("list_id", "embedding", "radius").toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = block.value.column("list_id").to_numpy()
+        centres, radius = _rows(block.value.column("embedding")), block.value.column("radius").to_numpy()
+        step = max(1, (1 << 22) // max(len(lists), 1))
+        for batch in (batch.slice(k, step) for batch in batches for k in range(0, batch.num_rows, step)):
+            asked = _rows(batch.column("embedding"))
+            bounds = asked @ centres.T + np.linalg.norm(asked, axis=1)[:, None] * radius
+            least = batch.column("least").to_numpy(zero_copy_only=False)
+            rows, cols = np.nonzero(bounds >= least[:, None] - SLACK * (1 + np.abs(bounds)))
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays(
+                [taken.column("query_id"), taken.column("embedding"), pa.array(lists[cols], pa.int64())],
+                names=["query_id", "embedding", "list_id"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    return queries.select("query_id", "embedding", "least").mapInArrow(
+        run, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, list_id bigint")
+
+
+def search_bounded(index: Index, queries: DataFrame, k: int | None = None, probes: int = 1,
+                   exclude_self: bool = False, radii: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(exact top-``k`` of every query, stored (query_id, lists, members) of what was read for it).
+
+    A list with centre c and radius r holds no score above q·c + |q|·r. The
+    ``probes`` best lists give a first k-th score; then all other lists whose bound
+    reaches it are read, and no list besides. ``radii`` are those of ``list_radii``,
+    worked out here without them. Centres too large to be sent to every worker
+    are no help: the search is then the flat one.
+    """
+    k = depth(k)
+    queries = materialize(queries.select("query_id", "embedding"), "queries")
+    if index.flat or not small_enough(index.centroids, "embedding", sys.maxsize):
+        read = queries.select("query_id", F.lit(1).cast("long").alias("lists"),
+                              F.lit(index.vectors.count()).cast("long").alias("members"))
+        return knn_join(queries, index.vectors, k, exclude_self), read
+    radii = radii if radii is not None else list_radii(index)
+    probed = materialize(probe_lists(queries, "query_id", index.centroids, probes), "probed")
+    first = materialize(knn_join_in_lists(probed, index.vectors, "list_id", k, exclude_self), "first_hits")
+    reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    least = F.when(F.col("n") == k, F.col("worst")).otherwise(F.lit(float("-inf")))
+    asked = queries.join(reached, "query_id", "left").select("query_id", "embedding", least.alias("least"))
+    more = _within_reach(asked, radii).join(probed.select("query_id", "list_id"), ["query_id", "list_id"], "left_anti")
+    more = materialize(more, "more_lists")
+    later = knn_join_in_lists(more, index.vectors, "list_id", k, exclude_self)
+    columns = ["query_id", "doc_id", "score"]
+    read = probed.select("query_id", "list_id").unionByName(more.select("query_id", "list_id")).join(
+        radii.select("list_id", "members"), "list_id").groupBy("query_id").agg(
+        F.count("*").alias("lists"), F.sum("members").alias("members"))
+    return best_per_query(first.select(columns).unionByName(later.select(columns)), k), materialize(read, "reading")
+
+
+def recall_at(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, expected, found, recall) of one search against the exact one."""
+    keys = ["query_id", "doc_id"]
+    hit = exact.select(keys).join(found.select(*keys, F.lit(1).alias("hit")), keys, "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("expected"),
+                   F.count("hit").alias("found")).withColumn(
+        "recall", F.try_divide(F.col("found").cast("double"), F.col("expected")))
+
+
 def unit_centroids(centroids: DataFrame) -> DataFrame:
     return centroids.withColumn("embedding", l2_normalize(F.col("embedding")))

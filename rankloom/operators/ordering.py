@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import hash_of
-from rankloom.session import hash_buckets, order_buckets
+from rankloom.session import hash_buckets, materialize, order_buckets
 
 SMALL_ROWS = 200_000
 #: Slices of an ordering grow with the rows of the largest group.
@@ -80,6 +80,11 @@ def running_totals(table: DataFrame, order: str, values: list[str], by: tuple[st
     if buckets is None and largest <= small:
         within = W.partitionBy(*by).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
         return table.withColumns({f"run_{v}": F.sum(v).over(within) for v in values})
+    return _run_sums(_bucketed(table, order, descending, buckets, largest), values, by, [step])
+
+
+def _bucketed(table: DataFrame, order: str, descending: bool, buckets: int | None, largest: int) -> DataFrame:
+    """``table`` with ``_bucket``: ordered slices of ``order``, cut at quantiles."""
     buckets = buckets or max(order_buckets(table.sparkSession), -(-largest // ROWS_PER_BUCKET))
     steps = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(table.approxQuantile(order, steps, 1.0 / (4 * buckets)))) if steps else []
@@ -92,7 +97,33 @@ def running_totals(table: DataFrame, order: str, values: list[str], by: tuple[st
         table = table.withColumn("_bucket", F.when(F.isnan(order), 1.0).otherwise(0.0))
     sign = -1 if descending else 1
     bucket = F.when(F.col(order).isNull(), F.lit(-1)).otherwise(F.col("_bucket")) * sign
-    return _run_sums(table.withColumn("_bucket", bucket.cast("int")), values, by, [step])
+    return table.withColumn("_bucket", bucket.cast("int"))
+
+
+def next_values(table: DataFrame, order: str, values: list[str], by: tuple[str, ...] = (),
+                descending: bool = True, buckets: int | None = None, small: int = SMALL_ROWS) -> DataFrame:
+    """Add ``next_<value>``: each value of the following row within ``by``; null in the last.
+
+    ``table`` is a stored table with one row per (``by``, ``order``) and values that
+    are not null. Rows look inside their bucket; the last row of a bucket takes the
+    first row of the next bucket that has rows, which is all that buckets exchange.
+    When the largest group is counted as small, a plain window takes its place.
+    """
+    step = F.desc(order) if descending else F.asc(order)
+    row = F.struct(*values)
+    largest = _largest_group(table, by) if buckets is None else 0
+    if buckets is None and largest <= small:
+        found = table.withColumn("_next", F.lead(row).over(W.partitionBy(*by).orderBy(step)))
+    else:
+        cut = materialize(_bucketed(table, order, descending, buckets, largest), "bucketed")
+        slot = [*by, "_bucket"]
+        number = F.row_number().over(W.partitionBy(*slot).orderBy(step))
+        firsts = cut.select(*slot, row.alias("_row"), number.alias("_number")).where("_number = 1").withColumn(
+            "_over", F.lead("_row").over(W.partitionBy(*by).orderBy("_bucket"))).select(*slot, "_over")
+        inside = cut.withColumn("_inside", F.lead(row).over(W.partitionBy(*slot).orderBy(step)))
+        found = join_null_safe(inside, firsts, slot).withColumn("_next", F.coalesce("_inside", "_over")).drop(
+            "_inside", "_over", "_bucket")
+    return found.withColumns({f"next_{v}": F.col(f"_next.{v}") for v in values}).drop("_next")
 
 
 def _largest_group(table: DataFrame, by: tuple[str, ...]) -> int:

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import hash_of
-from rankloom.operators.ordering import hash_bucket
-from rankloom.session import hash_buckets
+from rankloom.operators.ordering import hash_bucket, running_totals
+from rankloom.session import broadcast_if_small, hash_buckets, materialize
 from rankloom.sources.guards import require_columns
 
 TEST_SIZE = 250
@@ -57,60 +57,87 @@ def fallback_sizes(rows: int, test: Size, val: Size) -> tuple[int, int]:
     return n_test, n_val
 
 
-def quotas(counts: dict, size: int) -> dict:
-    """Share ``size`` rows among classes by largest remainder, ties by class order."""
-    total = sum(counts.values())
-    share = {c: size * n // total for c, n in counts.items()}
-    left = size - sum(share.values())
-    order = sorted(counts, key=lambda c: (-((size * counts[c]) % total), c))
-    for c in order[:left]:
-        share[c] += 1
-    return share
+def largest_remainders(strata: DataFrame, size: int, out: str) -> DataFrame:
+    """Stored ``strata(stratum, n, …)`` with ``out``: ``size`` rows shared among strata in
+    proportion to ``n`` by largest remainder, ties by stratum.
+
+    Strata stay a relation: only sums come to the driver. Equal remainders are one
+    row while they are ordered.
+    """
+    total = strata.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    exact = F.lit(size).cast("decimal(18,0)") * F.col("n").cast("decimal(18,0)")
+    shared = materialize(strata.withColumn("_exact", exact).withColumns({
+        out: F.expr(f"_exact div {max(total, 1)}L"),
+        "_rest": (F.col("_exact") % F.lit(max(total, 1))).cast("long")}).drop("_exact"), "shares")
+    left = size - shared.agg(F.coalesce(F.sum(out), F.lit(0))).first()[0]
+    rests = materialize(shared.groupBy("_rest").agg(F.count("*").alias("_alike")), "remainders")
+    above = running_totals(rests, "_rest", ["_alike"]).select(
+        F.col("_rest").cast("long").alias("_rest"), (F.col("run__alike") - F.col("_alike")).alias("_above"))
+    place = F.row_number().over(W.partitionBy("_rest").orderBy("stratum")) + F.col("_above")
+    return materialize(shared.join(above, "_rest").withColumn(out, F.col(out) + F.when(place <= left, 1).otherwise(
+        0)).drop("_rest", "_above"), "quotas")
+
+
+def _limits(strata: DataFrame, classes: int, rows: int, least: int, test: Size, val: Size) -> DataFrame:
+    """Stored (stratum, ends): rising rank limits of test and validation in every stratum."""
+    if classes >= 2 and least >= 2:
+        n_test, n_val = stratified_sizes(rows, classes, test, val)
+    else:
+        n_test, n_val = fallback_sizes(rows, test, val)
+    quota = largest_remainders(strata, n_test, "for_test")
+    quota = largest_remainders(quota.withColumn("n", F.col("n") - F.col("for_test")), n_val, "for_val")
+    return quota.select("stratum", F.array("for_test", F.col("for_test") + F.col("for_val")).alias("ends"))
 
 
-def _case(column: Column, values: dict) -> Column:
-    entries = [F.lit(x) for pair in values.items() for x in pair]
-    return F.element_at(F.create_map(*entries), column)
+def _stratum(label: str) -> Column:
+    """A mark before every value keeps null apart from any label's text."""
+    return F.when(F.col(label).isNull(), F.lit("w")).otherwise(F.concat(F.lit("v"), F.col(label).cast("string")))
 
 
-def quota_rank(df: DataFrame, stratum: Column, key: str, marks: list[dict], seed: int | str = SEED,
-               ) -> Column:
-    """Class numbers of rows relative to rank marks in seeded hash order.
+def _strata(rows: DataFrame, weight: Column) -> tuple[DataFrame, int, int, int]:
+    """Stored (stratum, n), the number of strata, all rows, the least of a stratum. One
+    stratum ``all`` where there are fewer than two, or one has a single row."""
+    strata = materialize(rows.groupBy("stratum").agg(F.sum(weight).alias("n")), "strata")
+    classes, total, least = strata.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(
+        F.min("n"), F.lit(0))).first()
+    if classes >= 2 and least >= 2:
+        return strata, classes, total, least
+    one = strata.groupBy(F.lit("all").alias("stratum")).agg(F.sum("n").alias("n"))
+    return materialize(one, "strata"), 1, total, least
 
-    ``marks`` are rising rank limits per stratum. Rows are counted per hash
-    bucket; only the buckets a limit falls into are ranked, to find the hash at
-    the limit. The rows themselves are then compared with a constant: the table
-    is not shuffled, whatever the size of a stratum.
+
+def quota_parts(df: DataFrame, stratum: Column, key: str, limits: DataFrame, seed: int | str = SEED) -> DataFrame:
+    """``df`` with ``_part``: the number of rank limits that a row lies beyond in seeded hash order.
+
+    ``limits(stratum, ends)`` holds rising rank limits per stratum. Rows are counted
+    per hash bucket; only the buckets a limit falls into are ranked, to find the
+    hash at the limit. The rows themselves are then compared with their stratum's
+    hashes: where the strata are counted as few the table is not shuffled, whatever
+    the size of a stratum.
     """
     buckets = hash_buckets(df.sparkSession)
-    keyed = df.select(stratum.alias("_stratum"), hash_of(seed, F.col(key)).alias("_hash"),
+    keyed = df.select(stratum.alias("stratum"), hash_of(seed, F.col(key)).alias("_hash"),
                       F.col(key).cast("string").alias("_key"))
     keyed = keyed.withColumn("_bucket", hash_bucket(F.col("_hash"), buckets))
-    before = W.partitionBy("_stratum").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    filled = (keyed.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy("stratum").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    filled = (keyed.groupBy("stratum", "_bucket").agg(F.count("*").alias("_rows"))
               .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))))
-    limits = F.array(*[_case(F.col("_stratum"), m).cast("long") for m in marks])
-    hit = (filled.select("*", F.posexplode(limits).alias("_mark", "_limit"))
-           .where("_limit > _start and _limit <= _start + _rows"))
-    # At most one bucket per stratum and mark.
-    places = [r.asDict() for r in hit.collect()]
-    if not places:
-        return F.lit(len(marks))
-    hot = keyed.sparkSession.createDataFrame(
-        list({(p["_stratum"], p["_bucket"], p["_start"]) for p in places}),
-        "_stratum string, _bucket int, _start bigint")
-    inside = W.partitionBy("_stratum", "_bucket").orderBy("_hash", "_key")
-    ranked = keyed.join(F.broadcast(hot), ["_stratum", "_bucket"]).withColumn(
-        "_rank", F.row_number().over(inside) + F.col("_start"))
-    limit_rows = ranked.where(F.array_contains(limits, F.col("_rank"))).select(
-        "_stratum", "_rank", "_hash", "_key").collect()
-    found = {(r["_stratum"], r["_rank"]): r["_hash"] + r["_key"] for r in limit_rows}
+    # At most one bucket per stratum and limit.
+    hit = materialize(
+        filled.join(broadcast_if_small(limits), "stratum").select("*", F.posexplode("ends").alias("_mark", "_limit"))
+        .where("_limit > _start and _limit <= _start + _rows").drop("ends", "_rows"), "limit_buckets")
+    inside = W.partitionBy("stratum", "_bucket").orderBy("_hash", "_key")
+    hot = hit.select("stratum", "_bucket", "_start").distinct()
+    ranked = keyed.join(broadcast_if_small(hot), ["stratum", "_bucket"]).withColumn(
+        "_limit", F.row_number().over(inside) + F.col("_start"))
+    last = ranked.join(hit.select("stratum", "_mark", "_limit"), ["stratum", "_limit"]).select(
+        "stratum", "_mark", F.concat("_hash", "_key").alias("_last"))
+    lasts = last.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("_mark", "_last"))).alias("_lasts"))
+    lasts = broadcast_if_small(materialize(lasts.withColumnRenamed("stratum", "_stratum"), "limit_hashes"))
     row_key = F.concat(hash_of(seed, F.col(key)), F.col(key).cast("string"))
-    result = F.lit(len(marks))
-    for number in reversed(range(len(marks))):
-        ends = {s: found.get((s, limit), "") for s, limit in marks[number].items()}
-        result = F.when(row_key <= _case(stratum, ends), F.lit(number)).otherwise(result)
-    return result
+    joined = df.withColumn("_stratum", stratum).join(lasts, "_stratum", "left")
+    beyond = [F.coalesce(row_key > F.element_at("_lasts", F.lit(mark)), F.lit(True)).cast("int") for mark in (0, 1)]
+    return joined.withColumn("_part", beyond[0] + beyond[1]).drop("_stratum", "_lasts")
 
 
 def create_splits(df: DataFrame, key: str, test: Size = TEST_SIZE, val: Size = VAL_SIZE,
@@ -122,22 +149,47 @@ def create_splits(df: DataFrame, key: str, test: Size = TEST_SIZE, val: Size = V
     ``key`` is unique. Whole numbers are row counts, fractions are shares.
     """
     require_columns(df, label, key)
-    # A mark before every value keeps null apart from any label's text.
-    stratum = F.when(F.col(label).isNull(), F.lit("w")).otherwise(F.concat(F.lit("v"), F.col(label).cast("string")))
-    counts = {r["s"]: r["count"] for r in df.groupBy(stratum.alias("s")).count().collect()}
-    rows = sum(counts.values())
-    if stratifiable(counts):
-        n_test, n_val = stratified_sizes(rows, len(counts), test, val)
-        for_test = quotas(counts, n_test)
-        for_val = quotas({c: n - for_test[c] for c, n in counts.items()}, n_val)
-    else:
-        stratum = F.lit("all")
-        n_test, n_val = fallback_sizes(rows, test, val)
-        for_test, for_val = {"all": n_test}, {"all": n_val}
-    upto_val = {c: for_test[c] + for_val[c] for c in for_test}
-    part = quota_rank(df, stratum, key, [for_test, upto_val], seed)
-    return df.withColumn(out, F.element_at(
-        F.array(F.lit("test"), F.lit("val"), F.lit("train")), part + 1))
+    strata, classes, rows, least = _strata(df.select(_stratum(label).alias("stratum")), F.lit(1))
+    stratum = _stratum(label) if classes > 1 else F.lit("all")
+    parted = quota_parts(df, stratum, key, _limits(strata, classes, rows, least, test, val), seed)
+    return parted.withColumn(out, _named(F.col("_part"))).drop("_part")
+
+
+def _named(part: Column) -> Column:
+    return F.element_at(F.array(F.lit("test"), F.lit("val"), F.lit("train")), part + 1)
+
+
+def create_group_splits(df: DataFrame, group: list[str], test: Size = TEST_SIZE, val: Size = VAL_SIZE,
+                        seed: int | str = SEED, label: str = "true_label", out: str = "split") -> DataFrame:
+    """Add ``split`` so that rows equal in the columns ``group`` stay together.
+
+    A group counts with its rows, in the stratum of its least label (null last).
+    In seeded hash order, a group goes where its first row would go alone: so
+    ``test``, and ``test`` and ``val`` together, exceed their quotas by less than the
+    one group at the limit, per stratum. Null is a value of its own. Running sizes
+    are taken per hash bucket, so no stratum is ordered in one task, and a group,
+    however large, is one row while groups are ordered.
+    """
+    require_columns(df, label, *group)
+    value = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("w")) for c in group]
+    named = df.withColumn("_group", F.md5(F.concat_ws("\x1f", *value)))
+    groups = materialize(named.groupBy("_group").agg(
+        F.count("*").alias("_size"), F.min(_stratum(label)).alias("stratum")), "groups")
+    strata, classes, rows, least = _strata(groups, F.col("_size"))
+    limits = _limits(strata, classes, rows, least, test, val)
+    if classes < 2:
+        groups = groups.withColumn("stratum", F.lit("all"))
+    hashed = groups.withColumn("_hash", hash_of(seed, F.col("_group")))
+    hashed = hashed.withColumn("_bucket", hash_bucket(F.col("_hash"), hash_buckets(df.sparkSession)))
+    before = W.partitionBy("stratum").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = hashed.groupBy("stratum", "_bucket").agg(F.sum("_size").alias("_rows")).select(
+        "stratum", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("stratum", "_bucket").orderBy("_hash", "_group").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    part = F.size(F.filter("ends", lambda end: end <= F.col("_first")))
+    placed = hashed.join(starts, ["stratum", "_bucket"]).withColumn("_first", first).join(
+        broadcast_if_small(limits), "stratum").select("_group", _named(part).alias(out))
+    return named.join(materialize(placed, "group_parts"), "_group").drop("_group")
 
 
 def split_summary(df: DataFrame, label: str = "true_label") -> DataFrame:

@@ -15,7 +15,8 @@ from rankloom.functions.vectors import fuse, l2_normalize, rounded
 from rankloom.operators import compare, curves, histogram, metrics, ndcg, reports, threshold
 from rankloom.operators.encode import (
     align_pairs, encode_column, encode_missing, encode_texts, encode_with_store)
-from rankloom.operators.ivf import LISTS, build_index, mean_vectors, probe_lists, search_index
+from rankloom.operators.ivf import (
+    LISTS, build_index, mean_vectors, probe_lists, recall_at, search_bounded, search_index)
 from rankloom.operators.lexical import lexical_join, query_terms, token_statistics
 from rankloom.operators.ordering import join_null_safe, number_rows
 from rankloom.operators.pairs import (
@@ -24,7 +25,7 @@ from rankloom.operators.pairs import (
 from rankloom.operators.rerank import coverage_scores, rerank, verdict
 from rankloom.operators.sampling import sample_per_group
 from rankloom.operators.search import knn_join, lookup_hits, score_against, top_k
-from rankloom.operators.splits import create_splits, leaked_pairs, split_summary
+from rankloom.operators.splits import create_group_splits, create_splits, leaked_pairs, split_summary
 from rankloom.plans import bindings as b
 from rankloom.plans.evaluation import evaluate_encoders
 from rankloom.plans.search_flow import Scorer, distinct_documents, search_texts
@@ -263,6 +264,20 @@ def ivf_search_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search_index(load_index(spark, path), b.vector_queries(spark, sf_dir), NEIGHBOURS, PROBES, True))
 
 
+@registered
+def ivf_search_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search by list bounds: the SQL is that of the flat search."""
+    return _hits(search_bounded(_given_index(spark, sf_dir), b.vector_queries(spark, sf_dir), NEIGHBOURS, PROBES, True)[0])
+
+
+@registered
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the exact result a fixed number of probes finds."""
+    index, queries = _given_index(spark, sf_dir), b.vector_queries(spark, sf_dir)
+    exact = materialize(knn_join(queries, b.vector_corpus(spark, sf_dir), NEIGHBOURS, True), "exact")
+    return _rounded(recall_at(search_index(index, queries, NEIGHBOURS, PROBES, True), exact), "recall")
+
+
 def _given_index(spark: SparkSession, sf_dir: str) -> Index:
     centroids = mean_vectors(b.load(spark, sf_dir, "embeddings"), "label")
     return Index(probe_lists(b.vector_corpus(spark, sf_dir), "doc_id", centroids), centroids)
@@ -336,7 +351,7 @@ class LengthScorer:
     name = "length"
 
     def score(self, questions: list[str], texts: list[str]) -> list[float]:
-        return [round(min(len(q), len(t)) / max(len(q), len(t), 1) - 0.5, 6) for q, t in zip(questions, texts, strict=True)]
+        return [min(len(q), len(t)) / max(len(q), len(t), 1) - 0.5 for q, t in zip(questions, texts, strict=True)]
 
 
 @registered
@@ -393,6 +408,13 @@ def split_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return create_splits(judged, "doc_id", 0.2, 0.1).select("doc_id", "true_label", "split")
 
 
+@registered
+def split_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal pairs stay in one split."""
+    pairs = _pairs(spark, sf_dir, "pair_id", "query", "comment", "true_label")
+    return create_group_splits(pairs, ["query", "comment"]).select("pair_id", "true_label", "split")
+
+
 @registered
 def split_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_class = b.load(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("true_label"))
@@ -503,6 +525,11 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(curves.roc_curve(b.scored_pairs(spark, sf_dir)), "tpr", "fpr")
 
 
+@registered
+def roc_curve_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(curves.roc_curve_thinned(b.scored_pairs(spark, sf_dir)), "tpr", "fpr")
+
+
 @registered
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(curves.auc(b.scored_pairs(spark, sf_dir)).select("roc_auc"), "roc_auc")

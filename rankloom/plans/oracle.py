@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from rankloom.operators.pairs import GENERIC_NEGATIVES, HARD_NEGATIVES, PARAPHRASES, TEMPLATES
 from rankloom.operators.threshold import REPORT_GRID, SWEEP, grid
 from rankloom.plans.catalog import (
@@ -414,6 +416,10 @@ both_v AS (SELECT query_id, l.v AS lv, r.v AS rv FROM catalogue JOIN e l ON l.te
         "ivf_search_full_probe": with_(EMBEDDED, ALL_PAIRS, select=knn("near")),
         "ivf_search_given_centroids": listed,
         "ivf_search_saved": listed,
+        "ivf_search_bounded": with_(EMBEDDED, ALL_PAIRS, select=knn("near")),
+        "ivf_recall": f"""
+SELECT count(DISTINCT query_id) AS queries, count(*) AS expected, count(hit) AS found, {r6('count(hit)::DOUBLE / count(*)')} AS recall
+FROM ({with_(EMBEDDED, ALL_PAIRS, select=knn("near"))}) LEFT JOIN (SELECT query_id, doc_id, 1 AS hit FROM ({listed})) USING (query_id, doc_id)""",
         "knn_join": with_(EMBEDDED, ALL_PAIRS, select=knn("near")),
         "hit_lookup": with_(TEXT_SEARCH, select="SELECT query_id, doc_id, rank, text FROM found"),
         "cross_group_candidates": with_(CATALOGUE, select="""
@@ -429,12 +435,21 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_sc
             select=f"""SELECT query_id, doc_id, {r6('score')} AS retrieval_score, rank AS retrieval_rank, {r6('rerank_score')} AS rerank_score,
   rerank_rank, CASE WHEN rerank_score > 0 THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS verdict, text FROM ranked WHERE rerank_rank <= {KEEP}"""),
         "lexical_candidates": with_(DOC_TOKENS, idf(BENCHMARK_QUERIES), BM25, select="SELECT query_id, doc_id, score, rank FROM lexical"),
-        "pair_rescore": with_(PAIRS, DOC_TOKENS, idf(PAIR_QUERIES), "cand AS (SELECT pair_id, query_id, comment AS text FROM pairs)",
-            coverage("cand", "pair_id"), select="SELECT pair_id, rerank_score FROM covered"),
+        # Each step is stored: the time must not depend on how the plan orders the joins.
+        "pair_rescore": re.sub(r"(?m)^(pairs|terms|df|dtok|cand|cand_tok|held|whole) AS \(", r"\1 AS MATERIALIZED (",
+            with_(PAIRS, DOC_TOKENS, idf(PAIR_QUERIES), "cand AS (SELECT pair_id, query_id, comment AS text FROM pairs)",
+                  coverage("cand", "pair_id"), select="SELECT pair_id, rerank_score FROM covered")),
         "rerank_topk": with_(DOC_TOKENS, idf(BENCHMARK_QUERIES), BM25,
             "cand AS (SELECT l.*, text FROM lexical l JOIN documents USING (doc_id))", coverage("cand", "doc_id"), RERANKED,
             select="SELECT query_id, doc_id, rank AS retrieval_rank, rerank_score, rerank_rank FROM ranked"),
         "split_stratified": with_(PAIRS, PAIR_SPLIT, select="SELECT pair_id, true_label, split FROM parts"),
+        "split_grouped": with_(PAIRS, """named AS (SELECT pair_id, true_label AS own, md5('v' || query || chr(31) || 'v' || comment) AS g FROM pairs),
+labelled AS (SELECT *, min(own) OVER (PARTITION BY g) AS true_label FROM named)""", split("labelled", "pair_id", "250", "250"),
+            f"""started AS (SELECT g, true_label, size, sum(size) OVER (PARTITION BY true_label ORDER BY {order('g')}
+  ROWS UNBOUNDED PRECEDING) - size AS first FROM (SELECT g, true_label, count(*) AS size FROM labelled GROUP BY ALL))""",
+            select="""SELECT l.pair_id, l.own AS true_label, CASE WHEN first < t.take THEN 'test'
+  WHEN first < t.take + v.take THEN 'val' ELSE 'train' END AS split
+FROM labelled l JOIN started s USING (g) JOIN q_test t ON t.true_label = l.true_label JOIN q_val v ON v.true_label = l.true_label"""),
         "split_fractions": with_("judged AS (SELECT doc_id, quality AS true_label FROM labels)",
             split("judged", "doc_id", "ceil(0.2 * n_rows)", "ceil(round((0.1 / (1 - 0.2)) * (n_rows - n_test), 9))"),
             select="SELECT doc_id, true_label, split FROM parts"),
@@ -464,6 +479,9 @@ SELECT source, doc_id, pick FROM (SELECT source, doc_id, row_number() OVER (PART
         "pr_curve": with_(SCORED, curve("scored"), select=f"SELECT score, tp::BIGINT AS tp, fp::BIGINT AS fp, {r6('precision')} AS precision, {r6('recall')} AS recall FROM curve_points"),
         "pr_auc": with_(SCORED, curve("scored"), select=f"SELECT {r6('pr_auc')} AS pr_auc FROM curve_areas"),
         "roc_curve": with_(SCORED, curve("scored"), select=f"SELECT score, {r6('recall')} AS tpr, {r6('fpr')} AS fpr FROM curve_points"),
+        "roc_curve_thinned": with_(SCORED, curve("scored"), select=f"""SELECT score, {r6('recall')} AS tpr, {r6('fpr')} AS fpr FROM (
+  SELECT *, lead(p) OVER w AS next_p, lead(n) OVER w AS next_n FROM curve_points WINDOW w AS (ORDER BY score DESC))
+WHERE (tp = p AND fp = n) OR next_p IS NULL OR next_p <> p OR next_n <> n"""),
         "roc_auc": with_(SCORED, curve("scored"), select=f"SELECT {r6('roc_auc')} AS roc_auc FROM curve_areas"),
         "ndcg_grouped": with_(SCORED, dcg("scored", "query"), select="SELECT " + ", ".join(
             f"coalesce(round(avg({n}) FILTER (items >= 2 AND positives > 0), 3), 0) AS {n}" for n in NDCG) + " FROM rank_dcg"),

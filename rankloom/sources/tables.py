@@ -36,8 +36,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
             .option("escape", '"').option("multiLine", multi_line).csv(path))
 
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    pairs = read_csv(spark, path, PAIR_SCHEMA) if fmt == "csv" else spark.read.format(fmt).load(path)
+def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """A pair set. Without ``multi_line`` a CSV file is cut into many tasks, and no text may hold a line break."""
+    pairs = read_csv(spark, path, PAIR_SCHEMA, multi_line) if fmt == "csv" else spark.read.format(fmt).load(path)
     return require_columns(pairs, "query", "comment", "true_label")
 
 

@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordering import number_rows, running_by_hash, running_totals, seeded_shuffle
+from rankloom.operators import curves
+from rankloom.operators.ordering import next_values, number_rows, running_by_hash, running_totals, seeded_shuffle
 from rankloom.session import materialize
 
 
@@ -55,3 +56,34 @@ def test_running_by_hash_covers_every_row_once(spark):
     df = spark.range(50).select(F.col("id").alias("g"), (F.col("id") % 5 + 1).alias("size"))
     ends = sorted((r.run_size - r.size, r.run_size) for r in running_by_hash(df, "g", ["size"]).collect())
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_next_values_across_buckets(spark):
+    """The same with a plain window and with any buckets, empty ones and groups of one row included."""
+    rows = [(g, float(i * i % 97) if g else 3.0, i) for g in (0, 1, 2, None) for i in range(1 if g == 0 else 60)]
+    rows = list({(g, s): (g, s, i) for g, s, i in rows}.values())
+    table = materialize(spark.createDataFrame(rows, "g int, score double, n long"), "rows")
+    for descending in (True, False):
+        want = {}
+        for g in (0, 1, 2, None):
+            mine = sorted((r for r in rows if r[0] == g), key=lambda r: r[1], reverse=descending)
+            want |= {(g, a[1]): b[2] if b else None for a, b in zip(mine, [*mine[1:], None], strict=True)}
+        for buckets in (None, 1, 4, 300):
+            got = next_values(table, "score", ["n"], ("g",), descending, buckets)
+            assert {(r.g, r.score): r.next_n for r in got.collect()} == want
+
+
+def test_thinned_curve_keeps_the_area(spark):
+    rng = random.Random(4)
+    rows = [("a" if i % 3 else "b", int(rng.random() < 0.4), rng.randrange(60) / 60 if i % 2 else rng.random())
+            for i in range(500)] + [("c", 1, 0.5), ("c", 0, 0.5)]
+    scored = spark.createDataFrame(rows, "model string, true_label int, score double")
+    whole = curves.roc_curve(scored, ("model",)).collect()
+    areas = {r.model: r.roc_auc for r in curves.auc(scored, ("model",)).collect()}
+    for buckets in (None, 7):
+        thin = curves.roc_curve_thinned(scored, ("model",), buckets).collect()
+        assert {tuple(r) for r in thin} < {tuple(r) for r in whole}
+        for model, area in areas.items():
+            points = [(0.0, 0.0)] + sorted((r.fpr, r.tpr) for r in thin if r.model == model)
+            got = sum((x1 - x0) * (y0 + y1) / 2 for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False))
+            assert abs(got - area) < 1e-12

@@ -86,6 +86,29 @@ def test_full_probe_is_exact_and_few_probes_are_a_subset(frames, vectors):
     assert 0 < one.count() <= 5 * len(vectors)
 
 
+def test_bounded_search_is_exact_and_reads_less(spark, frames, vectors, monkeypatch):
+    queries, corpus = frames
+    index = ivf.build_index(corpus, ivf.LISTS, 6)
+    for probes in (1, 3):
+        hits, reading = ivf.search_bounded(index, queries, 5, probes)
+        assert ranked(hits) == brute(vectors, 5)
+        assert all(probes <= r.lists <= 6 and r.members <= len(vectors) for r in reading.collect())
+    assert ranked(ivf.search_bounded(index, queries, len(vectors) + 3)[0]) == brute(vectors, len(vectors))
+    rng = np.random.default_rng(7)
+    far = np.concatenate([rng.normal(size=8) * 10 + rng.normal(size=(30, 8)) * 0.1 for _ in range(6)])
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(far)], "doc_id long, embedding array<double>")
+    index = ivf.build_index(table, ivf.LISTS, 6, seed=3)
+    asked = table.withColumnRenamed("doc_id", "query_id")
+    hits, reading = ivf.search_bounded(index, asked, 3)
+    exact = knn_join(asked, table, 3)
+    assert ranked(hits) == ranked(exact) and ivf.recall_at(hits, exact).first().recall == 1.0
+    assert reading.agg({"members": "sum"}).first()[0] < 0.8 * len(far) ** 2
+    few = ivf.recall_at(ivf.search_index(index, asked, 3, 1), exact).first()
+    assert few.expected == 3 * len(far) and 0 < few.found <= few.expected
+    monkeypatch.setattr(ivf, "small_enough", lambda *rest: False)
+    assert ranked(ivf.search_bounded(index, asked, 3)[0]) == ranked(exact)
+
+
 def test_hot_list_is_cut_into_blocks(spark, frames, vectors):
     queries, corpus = frames
     hot_q = queries.selectExpr("query_id", "embedding", "0L AS list_id")

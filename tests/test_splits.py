@@ -1,10 +1,14 @@
+import hashlib
+import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators.splits import (
-    create_splits, fallback_sizes, leaked_pairs, quotas, split_summary, stratifiable, stratified_sizes)
+    create_group_splits, create_splits, fallback_sizes, largest_remainders, leaked_pairs, split_summary, stratifiable,
+    stratified_sizes)
 from rankloom.sources.guards import MissingInput
 
 
@@ -16,11 +20,77 @@ def sizes(df):
     return Counter((r.split, r.true_label) for r in df.collect())
 
 
-def test_quotas_are_exact():
-    assert quotas({"0": 571, "1": 3409}, 250) == {"0": 36, "1": 214}
-    assert quotas({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
-    for size in range(1, 30):
-        assert sum(quotas({"a": 3, "b": 7, "c": 20}, size).values()) == size
+def plain_quotas(counts, size):
+    total = sum(counts.values())
+    share = {c: size * n // total for c, n in counts.items()}
+    order = sorted(counts, key=lambda c: (-((size * counts[c]) % total), c))
+    for c in order[:size - sum(share.values())]:
+        share[c] += 1
+    return share
+
+
+@pytest.mark.parametrize("counts,size", [
+    ({"0": 571, "1": 3409}, 250), ({"a": 1, "b": 1, "c": 1}, 2), ({"a": 3, "b": 7, "c": 20}, 17), ({"a": 9}, 4),
+    ({f"k{i:03d}": 1 + i * i % 7 for i in range(300)}, 411)])
+def test_quotas_are_exact(spark, counts, size):
+    strata = spark.createDataFrame(list(counts.items()), "stratum string, n long")
+    got = {r.stratum: r["take"] for r in largest_remainders(strata, size, "take").collect()}
+    assert got == plain_quotas(counts, size) and sum(got.values()) == size
+
+
+def test_very_many_labels(spark):
+    """100,000 strata: quotas, limits and hashes stay relations."""
+    df = spark.range(300_000, numPartitions=4).select(
+        F.col("id").alias("k"), F.when(F.col("id") < 100_000, F.lit(0)).otherwise(F.col("id") % 100_000).alias("true_label"))
+    got = create_splits(df, "k", 100_000, 100_000)
+    sizes = {r.split: r["count"] for r in got.groupBy("split").count().collect()}
+    assert sizes == {"test": 100_000, "val": 100_000, "train": 100_000}
+    hot = {r.split: r["count"] for r in got.where("true_label = 0").groupBy("split").count().collect()}
+    assert all(abs(n - 100_002 / 3) <= 1 for n in hot.values())
+
+
+def plain_group_split(rows, n_test, n_val):
+    """rows (key, group, label): whole groups in hash order, each where its first row falls."""
+    label = {}
+    for _, g, y in rows:
+        label[g] = min(label.get(g, y), y)
+    size = Counter(g for _, g, _ in rows)
+    counts = Counter(f"v{label[g]}" for _, g, _ in rows)
+    test = plain_quotas(counts, n_test)
+    val = plain_quotas({c: n - test[c] for c, n in counts.items()}, n_val)
+    out, start = {}, Counter()
+    for g in sorted(size, key=lambda g: (hashlib.md5(f"42:{named(g)}".encode()).hexdigest(), named(g))):
+        c = f"v{label[g]}"
+        out[g] = "test" if start[c] < test[c] else "val" if start[c] < test[c] + val[c] else "train"
+        start[c] += size[g]
+    return {k: out[g] for k, g, _ in rows}
+
+
+def named(group):
+    return hashlib.md5(("v" + group).encode()).hexdigest()
+
+
+def test_groups_stay_together(spark):
+    rng = random.Random(6)
+    rows = [(i, f"g{min(rng.randrange(150), rng.randrange(150))}", rng.randrange(3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, g string, true_label int")
+    got = create_group_splits(df.repartition(5), ["g"], 200, 100)
+    assert {r.k: r.split for r in got.collect()} == plain_group_split(rows, 200, 100)
+    assert got.columns == ["k", "g", "true_label", "split"]
+    assert got.groupBy("g").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    largest = max(Counter(g for _, g, _ in rows).values())
+    sizes = Counter(r.split for r in got.collect())
+    assert 200 <= sizes["test"] < 200 + 3 * largest
+
+
+def test_equal_pairs_do_not_leak(spark):
+    rows = [("q", "same", 1)] * 20 + [("q", f"c{i}", 0) for i in range(20)] + [(None, "x", 1), (None, "x", 0), ("", "x", None)]
+    df = spark.createDataFrame(rows, "query string, comment string, true_label int")
+    parts = create_group_splits(df, ["query", "comment"], 10, 10)
+    assert parts.count() == len(rows) and leaked_pairs(parts).count() == 0
+    one = create_group_splits(df.where("true_label = 0"), ["query", "comment"], 5, 5)
+    assert Counter(r.split for r in one.collect()) == {"test": 5, "val": 5, "train": 11}
+    assert create_group_splits(df.where("false"), ["query"]).count() == 0
 
 
 def test_sizes_of_counts_and_shares():
@@ -84,4 +154,4 @@ def test_summary_and_leaks(spark):
 
 def test_assignment_does_not_shuffle_the_rows(spark):
     plan = create_splits(table(spark, [0, 1] * 50), "k", 10, 10)._jdf.queryExecution().toString()
-    assert "Exchange" not in plan and "Window" not in plan
+    assert not re.search("Exchange (hash|range|single|Round)|SinglePartition|Window", plan) and "BroadcastHashJoin" in plan
