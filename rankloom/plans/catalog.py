@@ -22,6 +22,7 @@ from rankloom.operators.ordering import join_null_safe, number_rows
 from rankloom.operators.pairs import (
     TEMPLATES, cycled_template, foreign_candidates, generic_negatives, hard_negatives, paraphrases,
     query_dimension, with_group)
+from rankloom.operators.postings import load_lexical_index, search_lexical_index, write_lexical_index
 from rankloom.operators.rerank import coverage_scores, rerank, verdict
 from rankloom.operators.sampling import sample_per_group
 from rankloom.operators.search import knn_join, lookup_hits, score_against, top_k
@@ -368,6 +369,14 @@ def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_join(b.text_queries(spark, sf_dir), b.text_corpus(spark, sf_dir), RETRIEVE)
 
 
+@registered
+def lexical_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits from stored postings: the index is written, loaded and searched without the texts."""
+    path = scratch_path(spark, "postings")
+    write_lexical_index(b.text_corpus(spark, sf_dir), path)
+    return search_lexical_index(load_lexical_index(spark, path), b.text_queries(spark, sf_dir), RETRIEVE)[0]
+
+
 # Reranking -----------------------------------------------------------------
 
 @registered

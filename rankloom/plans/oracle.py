@@ -435,6 +435,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_sc
             select=f"""SELECT query_id, doc_id, {r6('score')} AS retrieval_score, rank AS retrieval_rank, {r6('rerank_score')} AS rerank_score,
   rerank_rank, CASE WHEN rerank_score > 0 THEN 'RELEVANT' ELSE 'IRRELEVANT' END AS verdict, text FROM ranked WHERE rerank_rank <= {KEEP}"""),
         "lexical_candidates": with_(DOC_TOKENS, idf(BENCHMARK_QUERIES), BM25, select="SELECT query_id, doc_id, score, rank FROM lexical"),
+        "lexical_saved": with_(DOC_TOKENS, idf(BENCHMARK_QUERIES), BM25, select="SELECT query_id, doc_id, score, rank FROM lexical"),
         # Each step is stored: the time must not depend on how the plan orders the joins.
         "pair_rescore": re.sub(r"(?m)^(pairs|terms|df|dtok|cand|cand_tok|held|whole) AS \(", r"\1 AS MATERIALIZED (",
             with_(PAIRS, DOC_TOKENS, idf(PAIR_QUERIES), "cand AS (SELECT pair_id, query_id, comment AS text FROM pairs)",
