@@ -27,8 +27,8 @@ def running_counts(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return _running(score_ties(scored, by), by)
 
 
-def _running(ties: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    totals = running_totals(ties, "score", ["p", "n"], by)
+def _running(ties: DataFrame, by: tuple[str, ...], order: str = "score") -> DataFrame:
+    totals = running_totals(ties, order, ["p", "n"], by)
     return totals.withColumnsRenamed({"run_p": "tp", "run_n": "fp"})
 
 
@@ -40,9 +40,11 @@ def curve_points(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return _points(score_ties(scored, by), by)
 
 
-def _points(ties: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def cumulated(ties: DataFrame, by: tuple[str, ...], order: str = "score") -> DataFrame:
+    """A stored table of counts ``p`` and ``n`` per ``order`` with ``tp`` and ``fp`` at or above
+    each, ``positives`` and ``negatives`` of the whole group."""
     sums = [F.sum("p").alias("positives"), F.sum("n").alias("negatives")]
-    points = _running(ties, by)
+    points = _running(ties, by, order)
     if by:
         # A row per model or split: stored, so the join knows how small it is.
         points = join_null_safe(points, materialize(ties.groupBy(*by).agg(*sums), "totals"), list(by))
@@ -50,7 +52,11 @@ def _points(ties: DataFrame, by: tuple[str, ...]) -> DataFrame:
         row = ties.agg(*sums).first()
         points = points.withColumns({"positives": F.lit(row["positives"]).cast("long"),
                                      "negatives": F.lit(row["negatives"]).cast("long")})
-    return (points
+    return points
+
+
+def _points(ties: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return (cumulated(ties, by)
             .withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
             .withColumn("recall", ratio(F.col("tp"), F.col("positives"), empty=1.0))
             .withColumn("fpr", F.try_divide(F.col("fp").cast("double"), F.col("negatives"))))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,44 @@ def _encoder_for(key: str, factory: EncoderFactory) -> Encoder:
     return _workers_encoders[key]
 
 
+@dataclass(frozen=True)
+class Batching:
+    """How texts reach an encoder.
+
+    At most ``size`` texts at once. With ``chars``, texts of like length go together and
+    a batch, padded to its longest text, holds no more than so many characters; a longer
+    text goes alone. ``profile`` names the resources of the stage, such as a GPU a task.
+    """
+
+    size: int = 64
+    chars: int | None = None
+    profile: ResourceProfile | None = None
+
+    def groups(self, lengths: np.ndarray) -> list[np.ndarray]:
+        """Row numbers of each batch."""
+        if self.chars is None:
+            return [np.arange(i, min(i + self.size, len(lengths))) for i in range(0, len(lengths), self.size)]
+        order, groups, start = np.argsort(lengths, kind="stable"), [], 0
+        for end, row in enumerate(order):  # in this order the newest text is the longest
+            if end > start and ((end - start + 1) * lengths[row] > self.chars or end - start == self.size):
+                groups.append(order[start:end])
+                start = end
+        return [*groups, order[start:]] if len(order) else []
+
+    def padding(self, lengths: np.ndarray) -> float:
+        """Share of the padded batches that is padding."""
+        padded = sum(len(g) * int(lengths[g].max()) for g in self.groups(lengths))
+        return 1 - float(lengths.sum()) / padded if padded else 0.0
+
+
 def encode_columns(df: DataFrame, text: str, encoders: dict[str, tuple[str, EncoderFactory]],
-                   batch_size: int = 64) -> DataFrame:
+                   batch_size: int = 64, batching: Batching | None = None) -> DataFrame:
     """Replace column ``text`` by one vector column per entry ``{column: (name, factory)}``.
 
     A map over partitions: no shuffle, and each text travels to Python once.
     """
+    batching = batching or Batching(batch_size)
+    texts_at_once = Batching(batching.size, batching.chars)  # a profile stays on the driver
     kept = [f for f in df.schema.fields if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
                        + [f"`{out}` array<float>" for out in encoders])
@@ -90,25 +124,27 @@ def encode_columns(df: DataFrame, text: str, encoders: dict[str, tuple[str, Enco
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             if not texts:
                 continue
-            vectors = [_encode_batch(_encoder_for(key, factory), texts, batch_size) for key, factory in keyed]
+            vectors = [_encode_batch(_encoder_for(key, factory), texts, texts_at_once) for key, factory in keyed]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + vectors,
                 names=[f.name for f in kept] + list(encoders))
 
-    return df.select(*[f.name for f in kept], text).mapInArrow(run, schema)
+    return df.select(*[f.name for f in kept], text).mapInArrow(run, schema, profile=batching.profile)
 
 
-def _encode_batch(encoder: Encoder, texts: list[str], batch_size: int) -> pa.ListArray:
-    parts = [encoder.encode(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
-    matrix = np.ascontiguousarray(np.vstack(parts), dtype=np.float32)
+def _encode_batch(encoder: Encoder, texts: list[str], batching: Batching) -> pa.ListArray:
+    groups = batching.groups(np.fromiter(map(len, texts), np.int64, len(texts)))
+    found = np.vstack([encoder.encode([texts[i] for i in group]) for group in groups])
+    matrix = np.empty(found.shape, np.float32)
+    matrix[np.concatenate(groups)] = found
     ends = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
 
 
 def encode_column(df: DataFrame, text: str, name: str, factory: EncoderFactory,
-                  out: str = "embedding", batch_size: int = 64) -> DataFrame:
+                  out: str = "embedding", batch_size: int = 64, batching: Batching | None = None) -> DataFrame:
     """Replace column ``text`` by its vector under one encoder."""
-    return encode_columns(df, text, {out: (name, factory)}, batch_size)
+    return encode_columns(df, text, {out: (name, factory)}, batch_size, batching)
 
 
 def distinct_texts(df: DataFrame, text: str, model: str) -> DataFrame:
@@ -121,30 +157,35 @@ def distinct_texts(df: DataFrame, text: str, model: str) -> DataFrame:
 
 
 def encode_texts(texts: DataFrame, name: str, factory: EncoderFactory,
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", batching: Batching | None = None) -> DataFrame:
     """(text_key, model, embedding) for the distinct texts of a column."""
     once = distinct_texts(texts, text, name)
-    vectors = encode_column(once, "text", name, factory)
+    vectors = encode_column(once, "text", name, factory, batching=batching)
     return vectors.select("text_key", F.lit(name).alias("model"), "embedding")
 
 
 def encode_missing(texts: DataFrame, stored: DataFrame, name: str, factory: EncoderFactory,
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", batching: Batching | None = None) -> DataFrame:
     """Vectors for those texts the store does not hold yet."""
-    once = distinct_texts(texts, text, name)
+    return encode_fresh(distinct_texts(texts, text, name), stored, name, factory, batching)
+
+
+def encode_fresh(once: DataFrame, stored: DataFrame, name: str, factory: EncoderFactory,
+                 batching: Batching | None = None) -> DataFrame:
+    """Vectors for those of ``distinct_texts`` that the store does not hold yet."""
     known = stored.where(F.col("model") == name).select("text_key")
     fresh = once.join(known, "text_key", "left_anti")
-    vectors = encode_column(fresh, "text", name, factory)
+    vectors = encode_column(fresh, "text", name, factory, batching=batching)
     return vectors.select("text_key", F.lit(name).alias("model"), "embedding")
 
 
 def encode_with_store(texts: DataFrame, stored: DataFrame, name: str, factory: EncoderFactory,
-                      text: str = "text") -> DataFrame:
+                      text: str = "text", batching: Batching | None = None) -> DataFrame:
     """Vectors for all the texts: the stored ones plus freshly encoded ones."""
     wanted = distinct_texts(texts, text, name).select("text_key")
     reused = (stored.where(F.col("model") == name).join(wanted, "text_key", "left_semi")
               .select("text_key", "model", "embedding"))
-    return reused.unionByName(encode_missing(texts, stored, name, factory, text))
+    return reused.unionByName(encode_missing(texts, stored, name, factory, text, batching))
 
 
 def align_pairs(pairs: DataFrame, vectors: DataFrame, model: str, left: str = "query",
@@ -169,7 +210,7 @@ def _join_both(keyed: DataFrame, vectors: DataFrame, columns: list[str]) -> Data
 
 def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
                           digits: int | None = None, left: str = "query", right: str = "comment",
-                          keep: list[str] | None = None) -> DataFrame:
+                          keep: list[str] | None = None, batching: Batching | None = None) -> DataFrame:
     """Long table (…, model, score) of cosine scores.
 
     All encoders share one pass over the distinct texts and one pair of joins. The
@@ -182,7 +223,7 @@ def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
         pairs.select(F.col(right).alias("text")))
     once = both.where("text is not null").select(F.md5("text").alias("text_key"), "text").distinct()
     columns = {f"v{i}": (name, make) for i, (name, make) in enumerate(encoders.items())}
-    vectors = materialize(encode_columns(once, "text", columns), "vectors")
+    vectors = materialize(encode_columns(once, "text", columns, batching=batching), "vectors")
     keyed = pairs.withColumns({"_left": F.md5(left), "_right": F.md5(right)}).select(
         *(keep or pairs.columns), "_left", "_right")
     aligned = _join_both(keyed, vectors, list(columns))

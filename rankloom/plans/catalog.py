@@ -15,6 +15,7 @@ from rankloom.functions.vectors import fuse, l2_normalize, rounded
 from rankloom.operators import compare, curves, histogram, metrics, ndcg, reports, threshold
 from rankloom.operators.encode import (
     align_pairs, encode_column, encode_missing, encode_texts, encode_with_store)
+from rankloom.operators.growth import add_vectors, drop_vectors, load_growing, split_lists, start_index
 from rankloom.operators.ivf import (
     LISTS, build_index, mean_vectors, probe_lists, recall_at, search_bounded, search_index)
 from rankloom.operators.lexical import lexical_join, query_terms, token_statistics
@@ -26,6 +27,7 @@ from rankloom.operators.postings import load_lexical_index, search_lexical_index
 from rankloom.operators.rerank import coverage_scores, rerank, verdict
 from rankloom.operators.sampling import sample_per_group
 from rankloom.operators.search import knn_join, lookup_hits, score_against, top_k
+from rankloom.operators.sketch import merge_sketches, score_sketch, sketch_areas
 from rankloom.operators.splits import create_group_splits, create_splits, leaked_pairs, split_summary
 from rankloom.plans import bindings as b
 from rankloom.plans.evaluation import evaluate_encoders
@@ -271,6 +273,20 @@ def ivf_search_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search_bounded(_given_index(spark, sf_dir), b.vector_queries(spark, sf_dir), NEIGHBOURS, PROBES, True)[0])
 
 
+@registered
+def ivf_search_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search of an index that was built of some vectors and then changed: the SQL is that of the flat search."""
+    path, corpus = scratch_path(spark, "growing"), b.vector_corpus(spark, sf_dir)
+    centroids = mean_vectors(b.load(spark, sf_dir, "embeddings"), "label")
+    start_index(Index(probe_lists(corpus.where("doc_id % 4 <= 1"), "doc_id", centroids), centroids), path)
+    add_vectors(corpus.where("doc_id % 4 = 2"), path)
+    drop_vectors(corpus.where("doc_id % 3 = 0").select("doc_id"), path)
+    split_lists(spark, path, corpus.count() // 20)
+    add_vectors(corpus.where("doc_id % 4 = 3 OR doc_id % 3 = 0"), path, replace=True)
+    index = load_growing(spark, path)
+    return _hits(search_bounded(index, b.vector_queries(spark, sf_dir), NEIGHBOURS, PROBES, True)[0])
+
+
 @registered
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the exact result a fixed number of probes finds."""
@@ -539,6 +555,13 @@ def roc_curve_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(curves.roc_curve_thinned(b.scored_pairs(spark, sf_dir)), "tpr", "fpr")
 
 
+@registered
+def score_sketch_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of both areas from 64 cells a unit, one sketch a branch of the pair set, merged."""
+    parts = score_sketch(b.scored_pairs(spark, sf_dir, keep=("branch",)), ("branch",), 6)
+    return _rounded(sketch_areas(merge_sketches([parts])), "rank_error", "roc_low", "roc_high", "pr_low", "pr_high")
+
+
 @registered
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(curves.auc(b.scored_pairs(spark, sf_dir)).select("roc_auc"), "roc_auc")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.compare import evaluation_record
-from rankloom.operators.encode import EncoderFactory, score_pairs_by_models
+from rankloom.operators.encode import Batching, EncoderFactory, score_pairs_by_models
 from rankloom.operators.splits import SEED, TEST_SIZE, VAL_SIZE, Size, create_splits
 from rankloom.operators.threshold import tune
 from rankloom.session import materialize
@@ -15,6 +15,7 @@ from rankloom.session import materialize
 def evaluate_encoders(pairs: DataFrame, encoders: dict[str, EncoderFactory], key: str = "pair_id",
                       test: Size = TEST_SIZE, val: Size = VAL_SIZE,
                       seed: int | str = SEED, digits: int | None = None, group: str | None = None,
+                      batching: Batching | None = None,
                       ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored and split pairs, one test record per encoder, one validation record each).
 
@@ -24,7 +25,7 @@ def evaluate_encoders(pairs: DataFrame, encoders: dict[str, EncoderFactory], key
     divided = materialize(create_splits(pairs, key, test, val, seed), "split")
     keyed = divided.withColumn("query_key", F.col(group) if group else F.md5("query"))
     scored = materialize(score_pairs_by_models(
-        keyed, encoders, digits, keep=[key, "query_key", "true_label", "split"]), "scored")
+        keyed, encoders, digits, keep=[key, "query_key", "true_label", "split"], batching=batching), "scored")
     scored = scored.withColumnRenamed("query_key", "query")
     held = scored.where("split = 'val'")
     tuned = tune(held, ("model",))

@@ -417,6 +417,7 @@ both_v AS (SELECT query_id, l.v AS lv, r.v AS rv FROM catalogue JOIN e l ON l.te
         "ivf_search_given_centroids": listed,
         "ivf_search_saved": listed,
         "ivf_search_bounded": with_(EMBEDDED, ALL_PAIRS, select=knn("near")),
+        "ivf_search_grown": with_(EMBEDDED, ALL_PAIRS, select=knn("near")),
         "ivf_recall": f"""
 SELECT count(DISTINCT query_id) AS queries, count(*) AS expected, count(hit) AS found, {r6('count(hit)::DOUBLE / count(*)')} AS recall
 FROM ({with_(EMBEDDED, ALL_PAIRS, select=knn("near"))}) LEFT JOIN (SELECT query_id, doc_id, 1 AS hit FROM ({listed})) USING (query_id, doc_id)""",
@@ -483,6 +484,16 @@ SELECT source, doc_id, pick FROM (SELECT source, doc_id, row_number() OVER (PART
         "roc_curve_thinned": with_(SCORED, curve("scored"), select=f"""SELECT score, {r6('recall')} AS tpr, {r6('fpr')} AS fpr FROM (
   SELECT *, lead(p) OVER w AS next_p, lead(n) OVER w AS next_n FROM curve_points WINDOW w AS (ORDER BY score DESC))
 WHERE (tp = p AND fp = n) OR next_p IS NULL OR next_p <> p OR next_n <> n"""),
+        "score_sketch_areas": with_(SCORED, f"""
+cells AS (SELECT floor(score * 64) AS cell, count(*) FILTER (true_label = 1) AS p, count(*) FILTER (true_label <> 1) AS n
+  FROM scored GROUP BY ALL),
+summed AS (SELECT p, n, sum(p) OVER above AS tp, sum(n) OVER above AS fp, sum(p) OVER () AS positives, sum(n) OVER () AS negatives
+  FROM cells WINDOW above AS (ORDER BY cell DESC ROWS UNBOUNDED PRECEDING))""",
+            select=f"""SELECT max(positives)::BIGINT AS positives, max(negatives)::BIGINT AS negatives,
+  {r6('max((p + n)::DOUBLE / (positives + negatives))')} AS rank_error,
+  {r6("sum(n::DOUBLE / negatives * (tp - p) / positives)")} AS roc_low, {r6("sum(n::DOUBLE / negatives * tp / positives)")} AS roc_high,
+  {r6("sum(" + ratio('p', 'positives') + " * " + ratio('tp - p', 'tp - p + fp', '1') + ")")} AS pr_low,
+  {r6("sum(" + ratio('p', 'positives') + " * " + ratio('tp', 'tp + fp - n', '1') + ")")} AS pr_high FROM summed"""),
         "roc_auc": with_(SCORED, curve("scored"), select=f"SELECT {r6('roc_auc')} AS roc_auc FROM curve_areas"),
         "ndcg_grouped": with_(SCORED, dcg("scored", "query"), select="SELECT " + ", ".join(
             f"coalesce(round(avg({n}) FILTER (items >= 2 AND positives > 0), 3), 0) AS {n}" for n in NDCG) + " FROM rank_dcg"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import content_key
-from rankloom.operators.encode import EncoderFactory, encode_column, encode_missing
+from rankloom.operators.encode import Batching, EncoderFactory, encode_column, encode_missing
 from rankloom.operators.ivf import search_index
 from rankloom.operators.lexical import query_terms, token_statistics
 from rankloom.operators.rerank import PairScorer, coverage_scores, rerank, score_candidates, verdict
@@ -60,11 +60,13 @@ def rerank_hits(hits: DataFrame, queries: DataFrame, corpus: DataFrame, keep: in
         verdict(F.col("rerank_score")).alias("verdict"), "text")
 
 
-def stored_vectors(corpus: DataFrame, store: str, name: str, factory: EncoderFactory) -> DataFrame:
+def stored_vectors(corpus: DataFrame, store: str, name: str, factory: EncoderFactory,
+                   batching: Batching | None = None) -> DataFrame:
     """(doc_id, embedding) of ``corpus(doc_id, text)``; texts that the embedding
     store lacks are encoded and added to it first, so no text is encoded twice."""
     spark = corpus.sparkSession
-    append_vectors(encode_missing(corpus, read_vectors(spark, store), name, factory), store, compared=True)
+    missing = encode_missing(corpus, read_vectors(spark, store), name, factory, batching=batching)
+    append_vectors(missing, store, compared=True)
     vectors = read_vectors(spark, store).where(F.col("model") == name).select("text_key", "embedding")
     keyed = corpus.where("text is not null").select("doc_id", content_key(name, F.col("text")).alias("text_key"))
     return keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).join(vectors, "text_key").select(
@@ -74,19 +76,20 @@ def stored_vectors(corpus: DataFrame, store: str, name: str, factory: EncoderFac
 def search_texts(queries: DataFrame, corpus: DataFrame, name: str, factory: EncoderFactory,
                  retrieve: int | None = RETRIEVE, keep: int | None = KEEP,
                  corpus_vectors: DataFrame | None = None, stats=None, index: Index | None = None,
-                 probes: int = 1, store: str | None = None, scorer: Scorer | None = None) -> DataFrame:
+                 probes: int = 1, store: str | None = None, scorer: Scorer | None = None,
+                 batching: Batching | None = None) -> DataFrame:
     """Answer ``queries(query_id, text)`` from ``corpus(doc_id, text)``.
 
     Vectors come from an ``index`` searched with ``probes`` lists per query, from
-    ``corpus_vectors``, from an embedding ``store``, or are made here.
+    ``corpus_vectors``, from an embedding ``store``, or are made here, ``batching`` telling how.
     """
-    query_vectors = materialize(encode_column(queries, "text", name, factory), "queries")
+    query_vectors = materialize(encode_column(queries, "text", name, factory, batching=batching), "queries")
     if index is not None:
         hits = search_index(index, query_vectors, retrieve, probes)
     else:
         if corpus_vectors is None and store is not None:
-            corpus_vectors = stored_vectors(corpus, store, name, factory)
+            corpus_vectors = stored_vectors(corpus, store, name, factory, batching)
         if corpus_vectors is None:
-            corpus_vectors = encode_column(distinct_documents(corpus), "text", name, factory)
+            corpus_vectors = encode_column(distinct_documents(corpus), "text", name, factory, batching=batching)
         hits = knn_join(query_vectors, corpus_vectors, retrieve)
     return rerank_hits(hits, queries, corpus, keep, stats, scorer)

@@ -6,6 +6,9 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 _scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_scope: ContextVar[str | None] = ContextVar("scratch scope", default=None)
 
 
 def build_session(app_name: str = "rankloom", cores: int | str = "*", partitions: int = 8,
@@ -77,7 +81,29 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder if there is one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that the calling thread stores inside the block go when it ends, failed or not.
+
+    For work whose result is written inside the block, such as a micro-batch: what is
+    left after it is the result alone. A block inside another one ends first.
+    """
+    folder = scratch_path(spark, "scope")
+    before = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(before)
+        drop_folder(spark, folder)
 
 
 def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:

@@ -17,10 +17,12 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def try_read(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or none when there is no such table."""
+def try_read(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame | None:
+    """The Parquet table at ``paths``, or none when there is no such table. Below ``base``
+    folder names are columns."""
+    reader = spark.read if base is None else spark.read.option("basePath", base)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(*paths)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

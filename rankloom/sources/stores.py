@@ -5,29 +5,86 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rankloom.session import drop_folder
 from rankloom.sources.guards import MissingInput, try_read
+from rankloom.sources.versions import Part, State, commit, part_path, read_parts, read_state
 
 VECTOR_SCHEMA = "text_key string, embedding array<float>, model string"
+#: First digits of a key that name its folder: 16 folders a model and part.
+PREFIX_DIGITS = 1
+#: So many parts of one level become one of the next: a vector is rewritten once a level.
+FAN = 8
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Stored vectors; empty when nothing was stored yet. Filter on ``model`` to prune."""
-    table = try_read(spark, path)
-    return spark.createDataFrame([], VECTOR_SCHEMA) if table is None else table
+def _prefix() -> Column:
+    return F.substring("text_key", 1, PREFIX_DIGITS).alias("prefix")
 
 
-def append_vectors(vectors: DataFrame, path: str, compared: bool = False) -> None:
-    """Add the vectors whose (model, key) the store lacks, one folder per model.
+def read_vectors(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Stored vectors; empty when nothing was stored yet. Filter on ``model`` to prune.
+
+    With ``wanted(text_key)``, a stored table, only the folders that may hold those keys are read.
+    """
+    state = read_state(spark, path)
+    if not state.parts:
+        return spark.createDataFrame([], VECTOR_SCHEMA)
+    table = _rows(spark, path, state.parts)
+    if wanted is not None:
+        table = table.where(F.col("prefix").isin([r[0] for r in wanted.select(_prefix()).distinct().collect()]))
+    return table.select("text_key", "embedding", "model")
+
+
+def _rows(spark: SparkSession, path: str, parts: list[Part] | tuple[Part, ...]) -> DataFrame:
+    return read_parts(spark, path, "vectors", [p.name for p in parts], f"{VECTOR_SCHEMA}, prefix string")
+
+
+def _write_part(vectors: DataFrame, path: str, part: Part) -> None:
+    """One file a folder unless it is large; sorted, with a Bloom filter on the key."""
+    (vectors.select("text_key", "embedding", "model", _prefix()).hint("rebalance", "model", "prefix")
+     .sortWithinPartitions("model", "prefix", "text_key")
+     .write.option("parquet.bloom.filter.enabled#text_key", "true")
+     .partitionBy("model", "prefix").parquet(part_path(path, "vectors", part.name)))
+
+
+def append_vectors(vectors: DataFrame, path: str, compared: bool = False, fan: int = FAN) -> None:
+    """Add the vectors whose (model, key) the store lacks, and merge small parts.
 
     A repeated call adds nothing. ``compared`` says that the caller took the stored
-    keys off already. Writers of one store take turns.
+    keys off already. Of two writers that start from the same state one fails.
     """
+    spark = vectors.sparkSession
+    state = read_state(spark, path)
     if not compared:
-        stored = read_vectors(vectors.sparkSession, path).select("model", "text_key")
+        stored = read_vectors(spark, path).select("model", "text_key")
         vectors = vectors.dropDuplicates(["model", "text_key"]).join(stored, ["model", "text_key"], "left_anti")
-    vectors.select("text_key", "embedding", "model").write.mode("append").partitionBy("model").parquet(path)
+    part = state.new_part("vectors")
+    _write_part(vectors, path, part)
+    compact_vectors(spark, path, commit(spark, path, state, [*state.parts, part], state.retired), fan)
+
+
+def compact_vectors(spark: SparkSession, path: str, state: State | None = None, fan: int = FAN) -> State:
+    """Merge levels that hold ``fan`` parts, so a store of n appends has about ``fan`` * log(n) parts.
+
+    The merged part is written first and committed in place of the others, whose
+    folders stay until the next merge for readers under way.
+    """
+    state = state or read_state(spark, path)
+    level = 0
+    while level <= max((p.level for p in state.parts), default=-1):
+        small = [p for p in state.parts if p.level == level]
+        if len(small) >= fan:
+            merged = state.new_part("vectors", level + 1)
+            _write_part(_rows(spark, path, small), path, merged)
+            dropped = state.retired
+            state = commit(spark, path, state, [*(p for p in state.parts if p.level != level), merged],
+                           tuple(p.name for p in small))
+            for name in dropped:
+                drop_folder(spark, part_path(path, "vectors", name))
+        level += 1
+    return state
 
 
 @dataclass

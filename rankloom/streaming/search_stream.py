@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rankloom.operators.encode import EncoderFactory
 from rankloom.operators.lexical import TokenStatistics
 from rankloom.plans.search_flow import KEEP, RETRIEVE, Scorer, search_texts
-from rankloom.session import materialize
+from rankloom.session import materialize, scratch_scope
 from rankloom.sources.guards import try_read
 from rankloom.sources.stores import Index
 
@@ -23,16 +23,18 @@ def answer_stream(questions: DataFrame, corpus: DataFrame, corpus_vectors: DataF
     A micro-batch is small beside the corpus and is sent to the corpus scan. The
     sink keeps one folder per batch and a repeated batch replaces its own, so a
     retry leaves no duplicates. Corpus vectors and token counts are made once. With a
-    saved ``index`` a batch reads only the lists it probes.
+    saved ``index`` a batch reads only the lists it probes. What a batch stores on its
+    way goes when its answers are written.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        batch = materialize(batch, "questions")  # read several times below
-        if batch.isEmpty():
-            return
-        hits = search_texts(batch, corpus, name, factory, retrieve, keep, corpus_vectors, stats, index, probes,
-                            scorer=scorer)
-        hits.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            batch = materialize(batch, "questions")  # read several times below
+            if batch.isEmpty():
+                return
+            hits = search_texts(batch, corpus, name, factory, retrieve, keep, corpus_vectors, stats, index, probes,
+                                scorer=scorer)
+            hits.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return (questions.writeStream.foreachBatch(answer)
             .option("checkpointLocation", checkpoint)
