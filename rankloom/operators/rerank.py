@@ -58,6 +58,16 @@ def score_candidates(candidates: DataFrame, name: str, factory: Callable[[], Pai
     return candidates.mapInArrow(run, schema)
 
 
+def _weight_of(found: Column, terms: Column) -> Column:
+    """Sum of ``idf`` of the tokens ``found`` among ``terms(token, idf)``, both in one order."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("held"))
+    return F.aggregate(
+        terms, start, lambda so_far, term: F.when(
+            F.get(found, so_far["at"]) == term["token"],
+            F.struct((so_far["at"] + 1).alias("at"), (so_far["held"] + term["idf"]).alias("held"))).otherwise(so_far),
+        lambda so_far: so_far["held"])
+
+
 def coverage_scores(candidates: DataFrame, queries: DataFrame,
                     stats: TokenStatistics) -> DataFrame:
     """Add ``rerank_score``: share of the query's idf weight the text covers, less one half.
@@ -67,12 +77,12 @@ def coverage_scores(candidates: DataFrame, queries: DataFrame,
     """
     weights = query_weights(queries, stats)
     terms = weights.groupBy("query_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "idf")))).alias("_terms"),
+        F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("_terms"),
         F.sum("idf").alias("_whole"))
-    # The intersection splits the text once; a test per term inside a lambda would
-    # split it once per term.
-    shared = F.array_intersect(F.map_keys("_terms"), tokens(F.col("text")))
-    held = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.element_at(F.col("_terms"), t))
+    # The intersection splits the text once and keeps the order of the terms, so one walk
+    # along them finds the weights; as a lambda's variable it is not worked out per term.
+    shared = F.array_intersect(F.col("_terms.token"), tokens(F.col("text")))
+    held = F.get(F.transform(F.array(shared), lambda found: _weight_of(found, F.col("_terms"))), F.lit(0))
     share = F.coalesce(F.try_divide(held, F.col("_whole")), F.lit(0.0))
     return (
         candidates.join(terms, "query_id", "left")

@@ -1,7 +1,8 @@
 import pytest
 
 from rankloom.operators.rerank import coverage_scores, rerank, score_candidates, verdict
-from rankloom.operators.lexical import query_terms, token_statistics
+from rankloom.functions.text import token_list
+from rankloom.operators.lexical import query_terms, query_weights, token_statistics
 from rankloom.plans.evaluation import evaluate_encoders
 from rankloom.plans import bindings as b
 from rankloom.session import scratch_root
@@ -76,6 +77,21 @@ def test_coverage(spark):
     assert got == {(1, "red red fox"): 0.5, (1, "blue"): -0.5, (2, "red"): -0.5, (3, "red"): -0.5}
 
 
+def test_coverage_weighs_each_shared_term(spark):
+    queries = spark.createDataFrame([(1, "dog ant cat bee"), (2, None)], "query_id long, text string")
+    corpus = spark.createDataFrame(
+        [(i, t) for i, t in enumerate(["ant bee", "ant cat", "ant", "dog"])], "doc_id long, text string")
+    stats = token_statistics(corpus, query_terms(queries))
+    idf = {r.token: r.idf for r in query_weights(queries, stats).collect()}
+    texts = ["cat dog", "Dog, zebra cat cat", "bee ant dog cat", "zebra", "", None]
+    cands = spark.createDataFrame([(q, t) for q in (1, 2, 3) for t in texts], "query_id long, text string")
+    got = {(r.query_id, r.text): r.rerank_score for r in coverage_scores(cands, queries, stats).collect()}
+    for text in texts:
+        held = sum(idf[t] for t in sorted(idf) if t in set(token_list(text or "")))
+        assert abs(got[1, text] - (held / sum(idf.values()) - 0.5)) < 1e-6
+        assert got[2, text] == got[3, text] == -0.5
+
+
 def test_offline_evaluation(spark, sf_dir):
     pairs = b.dialogue_pairs(spark, sf_dir)
     scored, records, _ = evaluate_encoders(pairs, b.ENCODERS)
