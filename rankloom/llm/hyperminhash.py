@@ -327,21 +327,25 @@ def band_slices(bands: int) -> list[tuple[int, int]]:
 
 class LinkTables:
     """Stored tables of links (a, b) and the components that they make, worked out
-    anew only where a table that is not empty was added."""
+    from those known and the tables that were added since."""
 
     def __init__(self) -> None:
         self.tables: list[DataFrame] = []
+        self._fresh: list[DataFrame] = []
         self._joined: DataFrame | None = None
 
     def add(self, links: DataFrame) -> None:
         if not links.isEmpty():
             self.tables.append(links)
-            self._joined = None
+            self._fresh.append(links)
 
     def joined(self) -> DataFrame | None:
         """(id, component) of every id that a link has; None without links."""
-        if self._joined is None and self.tables:
-            self._joined = materialize(components(functools.reduce(DataFrame.unionByName, self.tables)), "joined")
+        if self._fresh:
+            known = [] if self._joined is None else [self._joined.toDF("a", "b")]
+            self._joined = materialize(
+                components(functools.reduce(DataFrame.unionByName, [*known, *self._fresh])), "joined")
+            self._fresh = []
         return self._joined
 
     def place(self, rows: DataFrame) -> DataFrame:
