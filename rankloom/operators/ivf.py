@@ -24,6 +24,8 @@ from rankloom.sources.stores import Index
 FLAT, LISTS = "flat", "lists"
 #: Room for the rounding of scores and bounds.
 SLACK = 1e-6
+#: Rows that leave a task at once where one vector makes many.
+PROBED_ROWS = 20_000
 
 
 def list_count(rows: int) -> int:
@@ -69,9 +71,9 @@ def probe_lists(vectors: DataFrame, key: str, centroids: DataFrame, probes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = column_ids(block.value.column("query_id"))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        # A vector leaves once per probe, so many probes mean few vectors at once.
+        step = max(1, PROBED_ROWS // min(max(probes, 1), max(len(lists), 1)))
+        for batch in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
             rows = pa.table({"query_id": pa.array(range(batch.num_rows)),
                              "embedding": batch.column("embedding")})
             hits = Hits(probes)
@@ -108,8 +110,13 @@ def search_index(index: Index | None, queries: DataFrame, k: int | None = None,
         raise MissingInput("no index: build or load one first")
     if index.flat:
         return knn_join(queries, index.vectors, depth(k), exclude_self)
+    centroids = materialize(index.centroids, "centroids")
+    if probes >= centroids.count():
+        # All lists are read for every query: each of its vectors once per list would be the
+        # product of both, and a block of documents may as well hold more than one list.
+        return knn_join(queries, index.vectors.where("list_id is not null"), depth(k), exclude_self)
     probed = materialize(probe_lists(
-        queries.select("query_id", "embedding"), "query_id", index.centroids, probes), "probed")
+        queries.select("query_id", "embedding"), "query_id", centroids, probes), "probed")
     return knn_join_in_lists(probed, index.vectors, "list_id", depth(k), exclude_self)
 
 
@@ -146,7 +153,7 @@ def _within_reach(queries: DataFrame, radii: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = block.value.column("list_id").to_numpy()
         centres, radius = _rows(block.value.column("embedding")), block.value.column("radius").to_numpy()
-        step = max(1, (1 << 22) // max(len(lists), 1))
+        step = max(1, PROBED_ROWS // max(len(lists), 1))
         for batch in (batch.slice(k, step) for batch in batches for k in range(0, batch.num_rows, step)):
             asked = _rows(batch.column("embedding"))
             bounds = asked @ centres.T + np.linalg.norm(asked, axis=1)[:, None] * radius
@@ -154,12 +161,12 @@ def _within_reach(queries: DataFrame, radii: DataFrame) -> DataFrame:
             rows, cols = np.nonzero(bounds >= least[:, None] - SLACK * (1 + np.abs(bounds)))
             taken = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [taken.column("query_id"), taken.column("embedding"), pa.array(lists[cols], pa.int64())],
-                names=["query_id", "embedding", "list_id"])
+                [taken.column("query_id"), taken.column("embedding"), taken.column("least"),
+                 pa.array(lists[cols], pa.int64())], names=["query_id", "embedding", "least", "list_id"])
 
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
     return queries.select("query_id", "embedding", "least").mapInArrow(
-        run, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, list_id bigint")
+        run, f"query_id {kinds['query_id']}, embedding {kinds['embedding']}, least double, list_id bigint")
 
 
 def search_bounded(index: Index, queries: DataFrame, k: int | None = None, probes: int = 1,
