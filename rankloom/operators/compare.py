@@ -5,36 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.vectors import fuse
+from rankloom.functions.vectors import dot, fuse
 from rankloom.operators.curves import auc, curve_points
-from rankloom.operators.encode import EncoderFactory, encode_column
+from rankloom.operators.encode import EncoderFactory, encode_column, encode_columns
 from rankloom.operators.metrics import classification_metrics
 from rankloom.operators.ndcg import CUTS, cut_name, global_ndcg, mean_ndcg
-from rankloom.operators.search import score_against
 from rankloom.operators.threshold import threshold_sweep, tune
 
 RATES = ["accuracy", "precision", "recall", "f1"]
 CHART_METRICS = [*RATES, "pr_auc"]
 
 
-def score_question(comments: DataFrame, question: str, context: str,
-                   encoders: dict[str, EncoderFactory], text: str = "comment") -> DataFrame:
+def score_question(comments: DataFrame, question: str, context: str, encoders: dict[str, EncoderFactory],
+                   text: str = "comment", keep: list[str] | None = None) -> DataFrame:
     """Scores of all comments against one question with context, per encoder.
 
     The two texts become one vector on the driver and a constant of the plan; the
-    comments are encoded and scored where they lie.
+    comments are encoded and scored where they lie, by all encoders in one pass.
+    ``keep`` names the columns to carry; without the text it travels to Python once
+    and not back.
     """
-    scored = None
-    for name, factory in encoders.items():
+    kept = keep or comments.columns
+    columns = {f"_v{i}": entry for i, entry in enumerate(encoders.items())}
+    vectors = encode_columns(comments.select(*kept, F.col(text).alias("_text")), "_text", columns)
+    scores = []
+    for column, (name, factory) in columns.items():
         asked = comments.sparkSession.createDataFrame(
             [(0, question, context or None)], "n int, question string, context string")
         both = encode_column(encode_column(asked, "question", name, factory, "q"), "context", name, factory, "c")
-        kept = F.when(F.lit(bool(context)), F.col("c"))
-        vector = list(both.select(fuse(F.col("q"), kept).alias("v")).first()["v"])
-        vectors = encode_column(comments.withColumn("_text", F.col(text)), "_text", name, factory)
-        one = score_against(vectors, vector).select(*comments.columns, F.lit(name).alias("model"), "score")
-        scored = one if scored is None else scored.unionByName(one)
-    return scored
+        used = F.when(F.lit(bool(context)), F.col("c"))
+        vector = list(both.select(fuse(F.col("q"), used).alias("v")).first()["v"])
+        scores.append(F.struct(F.lit(name).alias("model"), dot(F.lit(vector), F.col(column)).alias("score")))
+    return vectors.select(*kept, F.inline(F.array(*scores)))
 
 
 def _per_model(thresholds: DataFrame | dict[str, float], scored: DataFrame) -> DataFrame:
