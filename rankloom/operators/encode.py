@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,11 @@ from rankloom.functions.vectors import dot
 from rankloom.session import materialize
 
 
+DIGESTS_KEPT = 400_000
+#: So many characters of a batch are Python strings at once.
+CHARS_AT_ONCE = 1 << 20
+
+
 class Encoder(Protocol):
     """Turns texts into unit row vectors. Built once per Python worker."""
 
@@ -27,19 +34,18 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
-class _Buckets(dict):
-    """Bucket of a token, hashed on first sight; forgets all when it grows large."""
-
-    def __init__(self, dim: int):
-        super().__init__()
-        self.dim = dim
+class _Digests(dict):
+    """Number of a token, hashed on first sight; forgets all when it grows large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= DIGESTS_KEPT:
             self.clear()
-        digest = hashlib.md5(token.encode("utf-8")).hexdigest()
-        bucket = self[token] = int(digest[:8], 16) % self.dim
-        return bucket
+        number = self[token] = int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
+        return number
+
+
+#: One per worker: all encoders share it, whatever their size.
+_digests = _Digests()
 
 
 class HashingEncoder:
@@ -48,13 +54,13 @@ class HashingEncoder:
     def __init__(self, dim: int = 64):
         self.name = f"hash{dim}"
         self.dim = dim
-        self._buckets = _Buckets(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        counts = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            hits = list(map(self._buckets.__getitem__, token_list(text)))
-            counts[row] = np.bincount(hits, minlength=self.dim) if hits else 0
+        found = [token_list(text) for text in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = np.fromiter(map(_digests.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        cells = np.repeat(np.arange(len(texts)) * self.dim, sizes) + numbers % self.dim
+        counts = np.bincount(cells, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
 
@@ -121,10 +127,9 @@ def encode_columns(df: DataFrame, text: str, encoders: dict[str, tuple[str, Enco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-            if not texts:
+            if batch.num_rows == 0:
                 continue
-            vectors = [_encode_batch(_encoder_for(key, factory), texts, texts_at_once) for key, factory in keyed]
+            vectors = _encode_batch([_encoder_for(key, factory) for key, factory in keyed], batch.column(text), texts_at_once)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + vectors,
                 names=[f.name for f in kept] + list(encoders))
@@ -132,13 +137,36 @@ def encode_columns(df: DataFrame, text: str, encoders: dict[str, tuple[str, Enco
     return df.select(*[f.name for f in kept], text).mapInArrow(run, schema, profile=batching.profile)
 
 
-def _encode_batch(encoder: Encoder, texts: list[str], batching: Batching) -> pa.ListArray:
-    groups = batching.groups(np.fromiter(map(len, texts), np.int64, len(texts)))
-    found = np.vstack([encoder.encode([texts[i] for i in group]) for group in groups])
-    matrix = np.empty(found.shape, np.float32)
-    matrix[np.concatenate(groups)] = found
-    ends = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
+def _encode_batch(encoders: list[Encoder], column: pa.Array, batching: Batching) -> list[pa.ListArray]:
+    """A vector column per encoder. Texts become Python strings a few groups at a time,
+    which all encoders then read; a whole batch of long texts would fill the worker."""
+    column = column.fill_null("")
+    lengths = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    matrices: list[np.ndarray | None] = [None] * len(encoders)
+    for run in _runs(batching.groups(lengths), lengths):
+        texts = [column.take(pa.array(group)).to_pylist() for group in run]
+        for i, encoder in enumerate(encoders):
+            for group, some in zip(run, texts, strict=True):
+                found = encoder.encode(some)
+                if matrices[i] is None:
+                    matrices[i] = np.empty((len(column), found.shape[1]), np.float32)
+                matrices[i][group] = found
+    return [pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+            for m in matrices]
+
+
+def _runs(groups: list[np.ndarray], lengths: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Groups in turn, together as long as they hold ``CHARS_AT_ONCE`` characters or fewer."""
+    run, chars = [], 0
+    for group in groups:
+        size = int(lengths[group].sum())
+        if run and chars + size > CHARS_AT_ONCE:
+            yield run
+            run, chars = [], 0
+        run.append(group)
+        chars += size
+    if run:
+        yield run
 
 
 def encode_column(df: DataFrame, text: str, name: str, factory: EncoderFactory,
@@ -208,6 +236,15 @@ def _join_both(keyed: DataFrame, vectors: DataFrame, columns: list[str]) -> Data
     return keyed.drop("_left", "_right")
 
 
+PAIR_KEYS = ["_left", "_right"]
+
+
+def with_pair_keys(pairs: DataFrame, left: str = "query", right: str = "comment") -> DataFrame:
+    """Add the keys of both texts. A pair set that is stored with them is scored
+    without hashing its texts again, and joined without reading them."""
+    return pairs.withColumns({"_left": F.unhex(F.md5(left)), "_right": F.unhex(F.md5(right))})
+
+
 def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
                           digits: int | None = None, left: str = "query", right: str = "comment",
                           keep: list[str] | None = None, batching: Batching | None = None) -> DataFrame:
@@ -219,22 +256,48 @@ def score_pairs_by_models(pairs: DataFrame, encoders: dict[str, EncoderFactory],
     ``keep`` names the pair columns to carry; leaving the texts out spares the
     joins most of their weight.
     """
-    both = pairs.select(F.col(left).alias("text")).unionByName(
-        pairs.select(F.col(right).alias("text")))
-    once = both.where("text is not null").select(F.md5("text").alias("text_key"), "text").distinct()
+    kept = keep or [c for c in pairs.columns if c not in PAIR_KEYS]
+    if not set(PAIR_KEYS) <= set(pairs.columns):
+        pairs = with_pair_keys(pairs, left, right)
+    both = pairs.select(F.col("_left").alias("text_key"), F.col(left).alias("text")).unionByName(
+        pairs.select(F.col("_right").alias("text_key"), F.col(right).alias("text")))
+    once = both.where("text is not null").distinct()
     columns = {f"v{i}": (name, make) for i, (name, make) in enumerate(encoders.items())}
     vectors = materialize(encode_columns(once, "text", columns, batching=batching), "vectors")
-    keyed = pairs.withColumns({"_left": F.md5(left), "_right": F.md5(right)}).select(
-        *(keep or pairs.columns), "_left", "_right")
-    aligned = _join_both(keyed, vectors, list(columns))
+    aligned = _join_both(pairs.select(*kept, *PAIR_KEYS), vectors, list(columns))
+    scored = _score_aligned(aligned, kept, list(columns))
 
     def score(column: str) -> Column:
-        value = dot(F.col(f"left_{column}"), F.col(f"right_{column}"))
-        return value if digits is None else F.round(value, digits) + F.lit(0.0)
+        return F.col(column) if digits is None else F.round(column, digits) + F.lit(0.0)
 
     scores = F.array(*[F.struct(F.lit(name).alias("model"), score(column).alias("score"))
                        for column, (name, _) in columns.items()])
-    return aligned.select(*(keep or pairs.columns), F.inline(scores))
+    return scored.select(*kept, F.inline(scores))
+
+
+def _score_aligned(aligned: DataFrame, kept: list[str], columns: list[str]) -> DataFrame:
+    """``kept`` and per column the product of its two vectors: sums of a batch at once, in
+    double precision and in index order like ``dot``."""
+    fields = [aligned.schema[c] for c in kept]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{c}` double" for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [_products(batch.column(f"left_{c}"), batch.column(f"right_{c}")) for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), *map(pa.array, scores)], names=[*kept, *columns])
+
+    sides = [f"{side}_{c}" for c in columns for side in ("left", "right")]
+    return aligned.select(*kept, *sides).mapInArrow(run, schema)
+
+
+def _products(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    total = np.zeros(len(left))
+    if len(left):
+        one, other = (side.flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1) for side in (left, right))
+        for j in range(one.shape[1]):
+            total += one[:, j].astype(np.float64) * other[:, j].astype(np.float64)
+    return total
 
 
 def score_pairs(pairs: DataFrame, model: str, factory: EncoderFactory, left: str = "query",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.compare import evaluation_record
-from rankloom.operators.encode import Batching, EncoderFactory, score_pairs_by_models
+from rankloom.operators.encode import Batching, EncoderFactory, score_pairs_by_models, with_pair_keys
 from rankloom.operators.splits import SEED, TEST_SIZE, VAL_SIZE, Size, create_splits
 from rankloom.operators.threshold import tune
 from rankloom.session import materialize
@@ -22,7 +22,7 @@ def evaluate_encoders(pairs: DataFrame, encoders: dict[str, EncoderFactory], key
     The split depends on the pair key alone, so all encoders share it. Scored rows
     keep the ``group`` column, or a hash of their query, for grouping instead of the texts.
     """
-    divided = materialize(create_splits(pairs, key, test, val, seed), "split")
+    divided = materialize(with_pair_keys(create_splits(pairs, key, test, val, seed)), "split")
     keyed = divided.withColumn("query_key", F.col(group) if group else F.md5("query"))
     scored = materialize(score_pairs_by_models(
         keyed, encoders, digits, keep=[key, "query_key", "true_label", "split"], batching=batching), "scored")
