@@ -21,7 +21,8 @@ from rankloom.functions.vectors import dot
 from rankloom.session import materialize
 
 
-DIGESTS_KEPT = 400_000
+#: Words a worker's encoder knows the buckets of: about 100 bytes each.
+BUCKETS_KEPT = 400_000
 #: So many characters of a batch are Python strings at once.
 CHARS_AT_ONCE = 1 << 20
 
@@ -34,18 +35,19 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
-class _Digests(dict):
-    """Number of a token, hashed on first sight; forgets all when it grows large."""
+class _Buckets(dict):
+    """Bucket of a token, hashed on first sight; forgets all when it grows large."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= DIGESTS_KEPT:
+        if len(self) >= BUCKETS_KEPT:
             self.clear()
-        number = self[token] = int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
-        return number
-
-
-#: One per worker: all encoders share it, whatever their size.
-_digests = _Digests()
+        number = int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
+        bucket = self[token] = number % self.dim
+        return bucket
 
 
 class HashingEncoder:
@@ -54,12 +56,13 @@ class HashingEncoder:
     def __init__(self, dim: int = 64):
         self.name = f"hash{dim}"
         self.dim = dim
+        self._buckets = _Buckets(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         found = [token_list(text) for text in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        numbers = np.fromiter(map(_digests.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
-        cells = np.repeat(np.arange(len(texts)) * self.dim, sizes) + numbers % self.dim
+        buckets = np.fromiter(map(self._buckets.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        cells = np.repeat(np.arange(len(texts)) * self.dim, sizes) + buckets
         counts = np.bincount(cells, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)

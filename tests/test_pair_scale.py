@@ -23,12 +23,14 @@ def test_a_batch_of_long_texts_is_not_held_as_strings(monkeypatch):
     assert vectors.to_pylist()[400] == [0.0] * 8 and vectors.to_pylist()[0] == vectors.to_pylist()[7]
 
 
-def test_encoders_share_the_hashes_of_tokens():
-    encode._digests.clear()
-    HashingEncoder(8).encode(["one two"])
-    known = dict(encode._digests)
-    HashingEncoder(4).encode(["two one"])
-    assert encode._digests == known and set(known) == {"one", "two"}
+def test_known_buckets_are_bounded(monkeypatch):
+    monkeypatch.setattr(encode, "BUCKETS_KEPT", 3)
+    small, whole = HashingEncoder(8), HashingEncoder(8)
+    text = " ".join(f"w{i}" for i in range(50))
+    found = small.encode([text, "", text])
+    assert len(small._buckets) <= 3
+    monkeypatch.undo()
+    assert (found == whole.encode([text, "", text])).all() and len(whole._buckets) == 50
 
 
 def test_tokens_are_those_of_the_rule():
