@@ -68,18 +68,21 @@ def _block_maker(mean_length: float):
         docs = docs.sort_by("doc_id")
         ids, lengths = docs.column("doc_id").to_numpy(), docs.column("length").to_numpy()
         lists = docs.column("tokens").combine_chunks()
-        counted = pa.table({"token": lists.flatten(), "row": pc.list_parent_indices(lists)}).group_by(
-            ["token", "row"]).aggregate([([], "count_all")]).sort_by([("token", "ascending"), ("row", "ascending")])
-        rows, counts = counted.column("row").to_numpy(), counted.column("count_all").to_numpy()
-        words = counted.column("token").combine_chunks().dictionary_encode()
-        codes = words.indices.to_numpy()
+        # Tokens become numbers in their order, so that one sort of whole numbers groups tokens and rows.
+        found = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(found.dictionary)
+        number = np.empty(len(order), np.int64)
+        number[order.to_numpy()] = np.arange(len(order))
+        cells, counts = np.unique(
+            number[found.indices.to_numpy()] * len(ids) + pc.list_parent_indices(lists).to_numpy(), return_counts=True)
+        codes, rows = np.divmod(cells, len(ids))
         starts = np.flatnonzero(np.diff(codes, prepend=-1))
         ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
         gaps = np.diff(ids[rows], prepend=0)
         gaps[starts] = ids[rows[starts]]
         best = np.maximum.reduceat(_part(counts, lengths[rows], mean_length), starts)
         return pa.table({
-            "token": words.dictionary, "slice": pa.array(np.full(len(starts), docs.column("slice")[0].as_py())),
+            "token": found.dictionary.take(order), "slice": pa.array(np.full(len(starts), docs.column("slice")[0].as_py())),
             "n": pa.array(np.diff(ends.to_numpy()).astype(np.int64)), "best": pa.array(best),
             "gaps": pa.ListArray.from_arrays(ends, pa.array(gaps)),
             "counts": pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
@@ -96,16 +99,17 @@ def write_lexical_index(corpus: DataFrame, path: str, buckets: int | None = None
                         slice_rows: int = SLICE_ROWS, slice_tokens: int = SLICE_TOKENS) -> LexicalIndex:
     """Index ``corpus(doc_id, text)`` under a new version of ``path`` and load it.
 
-    The texts are cut into tokens twice: once for the lengths, once for the blocks.
-    Only then do token arrays move, once, to their slices. Ids are whole numbers, one
-    per text; rows without an id or a text take no part. The marker is written last,
-    so a failed run leaves the previous version in place.
+    The texts are cut into tokens once, and their arrays are stored: the lengths say how many
+    slices there are, and only then do the arrays move, once, to their slices. Ids are whole
+    numbers, one per text; rows without an id or a text take no part. The marker is written
+    last, so a failed run leaves the previous version in place.
     """
     spark = corpus.sparkSession
     docs = spread_small(corpus.select("doc_id", "text").where("doc_id is not null and text is not null")).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text")).alias("tokens"))
     docs = docs.withColumn("length", F.size("tokens").cast("bigint")).withColumn(
         "kind", F.floor(F.log2(F.col("length") + 1)).cast("int"))
+    docs = materialize(docs, "token-lists")
     # One row per power of two that a length reaches: 32 at most.
     kinds = [(r["kind"], r["n"], r["length"]) for r in docs.groupBy("kind").agg(
         F.count("*").alias("n"), F.sum("length").alias("length")).collect()]
@@ -223,7 +227,8 @@ def search_lexical_index(index: LexicalIndex | None, queries: DataFrame, k: int
     frequency = materialize(of_tokens(index.frequency).select("token", "df"), "frequency")
     weighted = materialize(query_weights(
         queries, TokenStatistics(index.documents, index.mean_length, frequency)), "weighted")
-    postings = of_tokens(index.postings)
+    # Three steps read them; the folders hold many other tokens.
+    postings = materialize(of_tokens(index.postings).drop("bucket"), "postings")
     bounds = materialize(
         postings.select("token", "slice", "n", "best").join(weighted, "token").groupBy("query_id", "slice").agg(
             F.sum(F.col("idf") * F.col("best")).alias("bound"), F.sum("n").alias("postings")), "bounds")
